@@ -105,7 +105,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, partitions: int | None =
             for source in batch["id"]:
                 for v, x in _dependencies(graph.value, source).items():
                     total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype="float64")})
 
     dealt = vertices.select("id").repartition(partitions or spark.sparkContext.defaultParallelism * 2, "id")
     summed = dealt.mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
