@@ -15,7 +15,7 @@ from citemill.llm.multiset_hash import op7_multiset_hash
 from citemill.llm.secret_ledger import op3_secret_ledger
 from citemill.llm.simhash_dedup import op1_simhash_near_dedup
 from citemill.llm.toxicity import op4_toxicity
-from citemill.llm.warc_revisits import op10_warc_revisits
+from citemill.llm.warc_revisits import REVISIT_AFTER, op10_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -30,7 +30,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_revisits": op10_warc_revisits,
 }
 
+#: kind -> pattern, the group that has a least length, and that length. A run of one class that is too short holds no
+#: later match, so its least length is in the pattern.
+_KINDS = {
+    "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("AKIA[A-Z0-9]{16,}", 0, 1),
+    "hex": ("[0-9a-f]{24,}", 0, 1),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+}
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, '{kind}' AS kind, {n} AS kind_no, {least} AS least, regexp_extract_all(text, '{pattern}', 0) AS whole,
+        regexp_extract_all(text, '{pattern}', {group}) AS part, regexp_split_to_array(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}')"""
+    for n, (kind, (pattern, group, least)) in enumerate(_KINDS.items())
+)
+_JOINED = "string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, kind_no)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_ledger": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({_MATCHES}),
+        x AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+        y AS (SELECT doc_id, kind, kind_no, len(whole[i]) AS n, list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda w: len(w))), 0) AS s
+              FROM x WHERE len(part[i]) >= least),
+        z AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+                     {_JOINED} FILTER (kind_no < 3) AS base, {_JOINED} AS spans FROM y GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN z USING (doc_id)
+    """,
+    "op10_warc_revisits": f"""
+        WITH parts AS (SELECT page_id, coalesce(html, '') AS html, length(html) AS n, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM pages),
+        split AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[0-9]*\\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+            array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS query FROM parts),
+        p AS (SELECT page_id, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key, '"' || substr(sha1(html), 1, 16) || '"' AS etag, n FROM split),
+        r AS (SELECT page_id * 2 + 1 AS record_id, url_key, CAST(page_id + {REVISIT_AFTER} AS double) AS ts, etag, page_id + {REVISIT_AFTER} AS day FROM p)
+        SELECT r.record_id, r.url_key, r.ts, f.page_id * 2 AS latest, CASE WHEN f.etag = r.etag THEN f.page_id * 2 END AS refers_to,
+               CASE WHEN f.page_id IS NULL THEN 'no-response' WHEN f.etag = r.etag THEN 'resolved' ELSE 'validator-mismatch' END AS status,
+               CASE WHEN f.etag = r.etag THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || f.n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || r.day || chr(10) || 'etag: ' || f.etag END AS headers
+        FROM r ASOF LEFT JOIN (SELECT *, CAST(page_id AS double) AS at FROM p) f ON r.url_key = f.url_key AND r.ts > f.at
+    """,
     "op6_digest_index": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

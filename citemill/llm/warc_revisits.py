@@ -25,7 +25,7 @@ STRETCHES = 512
 #: Header fields that a 304 may carry to update a stored response (RFC 9110, 15.4.5), and Expires' kin.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age", "warning"]
 #: Query parameters that don't select content.
-TRACKING = r"(?i)(^|&)(utm_[^=&]*|ref|fbclid|gclid|sessionid)(=[^&]*)?(?=&|$)"
+TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
@@ -34,7 +34,7 @@ def canonical_url(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www\d*\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(query, TRACKING, ""), "&"), lambda p: p != "")), "&")
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING)))), "&")
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
