@@ -150,16 +150,19 @@ def nested_timeline(found: DataFrame, papers: DataFrame) -> DataFrame:
     return rows.groupBy("start_id").agg(F.array_sort(F.collect_list(F.struct("position", "paper_id", "title", "year"))).alias("timeline"))
 
 
-def repair_chains(entries: DataFrame, stored: DataFrame) -> DataFrame:
-    """entries (sample, paper_id, predecessor_id, chain) whose chain is empty take the paper's stored chain (paper_id,
-    chain, pos; the last one wins) or else the predecessor's; the paper's own id is appended, once more where the chain
-    holds it."""
-    last = stored.groupBy("paper_id").agg(F.max_by("chain", "pos").alias("chain"))
-    own, before = last.toDF("paper_id", "own_chain"), last.toDF("predecessor_id", "before_chain")
-    joined = entries.join(own, "paper_id", "left").join(before, "predecessor_id", "left")
-    given = F.when(F.size("chain") > 0, F.col("chain"))
-    fixed = F.coalesce(given, F.array_append("own_chain", F.col("paper_id")), F.array_append("before_chain", F.col("paper_id")), F.array("paper_id"))
-    return joined.withColumn("chain", fixed).withColumn("repaired", given.isNull()).select(*entries.columns, "repaired")
+def repair_chains(entries: DataFrame) -> DataFrame:
+    """entries (pos, paper_id, predecessor_id, chain) with empty chains repaired, and repaired. A paper that stands in
+    some chain takes the last such chain; or else the first chain of an entry whose predecessor it is. Its own id is
+    appended, once more where the chain holds it. Others stay empty."""
+    full = entries.filter(F.size("chain") > 0)
+    members = full.select("pos", "chain", F.explode("chain").alias("paper_id"))
+    own = members.groupBy("paper_id").agg(F.max_by("chain", "pos").alias("own_chain"))
+    after = full.filter("predecessor_id is not null").groupBy(F.col("predecessor_id").alias("paper_id")).agg(F.min_by("chain", "pos").alias("after_chain"))
+    joined = entries.join(own, "paper_id", "left").join(after, "paper_id", "left")
+    empty = F.coalesce(F.size("chain"), F.lit(0)) <= 0
+    found = F.coalesce("own_chain", "after_chain")
+    fixed = F.when(empty & found.isNotNull(), F.array_append(found, F.col("paper_id"))).otherwise(F.col("chain"))
+    return joined.withColumn("repaired", empty & found.isNotNull()).withColumn("chain", fixed).select(*entries.columns, "repaired")
 
 
 def fetched(papers: DataFrame, fetch_log: DataFrame, kind: str, window: tuple[int, int] | None = None) -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.functions import ids, metrics, text
-from citemill.operators import anomaly, clean, drift, evaluate, features, graph, merge, quality, ranking, report, splits, tables, traverse, validate
+from citemill.operators import anomaly, clean, drift, evaluate, features, graph, merge, quality, ranking, report, serving, splits, tables, training, traverse, validate
 from citemill.plans import pipeline
 from citemill.sources.views import VIEWS, view, with_views
 
@@ -920,3 +920,158 @@ def s12_w08_positions(read):
 
     # The test table is in the order of page_id.
     return with_position(read("pages").select("page_id"), "sample")
+
+
+# Serving and training
+
+
+@query("SELECT paper_id, title, 5 AS references_count, true AS references_fetched FROM papers WHERE paper_id = '77'", "papers")
+def s15_s16_lookup(read):
+    papers = read("papers").select("paper_id", "title", F.concat(F.lit("a"), "paper_id").alias("arxiv_id"))
+    log = papers.select("paper_id", F.lit("references").alias("fetch_type"), F.lit(5).alias("result_count"))
+    return serving.lookup(papers, log, "ARXIV:a77").drop("arxiv_id")
+
+
+@query("SELECT paper_id, CASE WHEN pos % 2 = 0 THEN 'cache' WHEN pos % 3 = 0 THEN 'store' END AS tier, CASE WHEN pos % 2 = 0 OR pos % 3 = 0 THEN title END AS title FROM papers", "papers")
+def s01_read_through(read):
+    rows = read("papers")
+    return serving.read_through(rows.select("paper_id"), ("cache", rows.filter("pos % 2 = 0").select("paper_id", "title")), ("store", rows.filter("pos % 3 = 0").select("paper_id", "title")))
+
+
+@query("SELECT from_id, pos FROM refs ORDER BY pos LIMIT 20 OFFSET 20", "refs")
+def s04_page(read):
+    return serving.page(read("refs").select("from_id", "pos"), [F.asc("pos")], 20, 20)
+
+
+@query("SELECT coalesce(v, 'total') AS name, CAST(sum(length(url)) AS bigint) AS bytes FROM (SELECT *, substr(url, 1, 5) AS v FROM pages) GROUP BY ROLLUP (v)")
+def a26_manifest(read):
+    return serving.manifest(read("pages").select(F.substring("url", 1, 5).alias("name"), F.length("url").cast("bigint").alias("length")))
+
+
+@query("SELECT paper_id FROM papers WHERE NOT (pos % 4 = 0)", "papers")
+def j21_j22_missing_files(read):
+    rows = read("papers").select("paper_id", F.concat("paper_id", F.lit(".pdf")).alias("file_name"), "pos")
+    return serving.not_in_store(rows, rows.filter("pos % 4 = 0").select(F.col("file_name").alias("name")))[0].select("paper_id")
+
+
+@query("SELECT feedback_id FROM feedback WHERE rating IS NOT NULL", "feedback")
+def k11_save_feedback(read):
+    rows = read("feedback").filter("rating is not null").select("feedback_id", "rating")
+    return serving.save_feedback(rows.filter("rating = 1"), rows).select("feedback_id")
+
+
+@query(
+    """
+    SELECT p.paper_id, p.pos % 2 = 0 AS has_analysis, p.pos % 3 = 0 AS has_comparison, CAST(count(q.paper_id) AS int) AS influences, max(q.title) AS best_title
+    FROM papers p LEFT JOIN papers q ON q.pos IN (p.pos + 1, p.pos + 2) AND p.pos % 5 = 0 WHERE p.pos < 100 GROUP BY ALL
+    """,
+    "papers",
+)
+def j19_j20_analysis(read):
+    rows = read("papers")
+    some = rows.filter("pos < 100")
+    analysis, comparison = some.filter("pos % 2 = 0").select("paper_id", F.lit(True).alias("a")), some.filter("pos % 3 = 0").select("paper_id", F.lit(True).alias("c"))
+    influences = some.filter("pos % 5 = 0").select("paper_id", F.explode(F.array((F.col("pos") + 1).cast("string"), (F.col("pos") + 2).cast("string"))).alias("influence_id"), F.lit("x").alias("contribution"))
+    found = serving.assemble_analysis(some.select("paper_id"), analysis, comparison, influences, rows)
+    return found.select("paper_id", F.col("a").isNotNull().alias("has_analysis"), F.col("c").isNotNull().alias("has_comparison"), F.size("influences").alias("influences"), F.array_max(F.transform("influences", lambda i: i["influence_title"])).alias("best_title"))
+
+
+@query("SELECT paper_id, pos FROM papers WHERE pos % 3 <> 0 ORDER BY pos LIMIT 50", "papers")
+def p17_remaining_seeds(read):
+    rows = read("papers")
+    runs = rows.select(F.col("paper_id").alias("seed_paper_id"), F.when(F.col("pos") % 3 == 0, "success").otherwise("failed").alias("status"))
+    return training.remaining_seeds(rows.select("paper_id", "pos"), runs, 50)
+
+
+@query("SELECT paper_id FROM papers WHERE pos % 2 = 1 AND pos % 5 <> 0", "papers")
+def p16_eligible_seeds(read):
+    rows = read("papers").withColumn("arxiv_id", F.when(F.col("pos") % 2 == 1, "x").otherwise(""))
+    return training.eligible_seeds(rows.union(rows).select("paper_id", "arxiv_id"), rows.filter("pos % 5 = 0")).select("paper_id")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (turn % 2 = 0) AS valid, count(*) FILTER (turn % 2 <> 0) AS invalid FROM conversations")
+def p19_validity(read):
+    good = F.to_json(F.struct(F.lit("a").alias("input"), F.lit("b").alias("output")))
+    return training.validity(read("conversations").select(F.when(F.col("turn") % 2 == 0, good).otherwise("{bad").alias("value")))
+
+
+@query("SELECT sample, field FROM examples WHERE field IN ('1-URGENT', '2-HIGH')", "examples")
+def p15_in_fields(read):
+    return training.in_fields(read("examples"), ["1-URGENT", "2-HIGH"]).select("sample", "field")
+
+
+_EXAMPLES = "SELECT conv_id * 1000 + turn AS pos, role, text, turn FROM conversations"
+
+
+@query(
+    f"""
+    WITH e AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS original_index FROM ({_EXAMPLES}))
+    SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS int) AS sample_index, CAST(original_index AS int) AS original_index, text AS input_text, CAST(turn AS int) AS depth, turn = 0 AS is_terminal FROM e WHERE role = 'user' AND coalesce(text, '') <> ''
+    """
+)
+def p28_p29_sidecar(read):
+    paper = lambda c: F.struct(F.lit("p").alias("paper_id"), F.lit(2000).alias("year"), F.lit(1).alias("citation_count"), F.lit("f").alias("field_of_study")) if c is None else F.when(c, paper(None))
+    rows = read("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("input"), F.when(F.col("role") == "user", "out").alias("output"),
+        F.struct(F.lit("t").alias("target_paper_id"), F.lit("q").alias("predecessor_paper_id"), F.col("turn").cast("int").alias("depth"), F.lit(3).alias("candidates_considered"), F.lit("s").alias("target_source_type"), F.lit("m").alias("model")).alias("metadata"),
+        F.struct(paper(None).alias("target_paper"), paper(F.col("turn") != 0).alias("predecessor_paper"), F.array(F.lit("p")).alias("lineage_chain")).alias("level_info"),
+    )
+    return training.sidecar(rows).select("sample_index", "original_index", "input_text", "depth", "is_terminal")
+
+
+@query(
+    """
+    WITH e AS (SELECT sample, paper_a AS paper_id, paper_b AS predecessor_id, CASE WHEN sample % 10 = 0 THEN [paper_b, paper_a] ELSE [] END AS chain FROM examples WHERE sample < 2000),
+    own AS (SELECT paper_id, max_by(chain, sample) AS c FROM (SELECT sample, chain, unnest(chain) AS paper_id FROM e) GROUP BY 1),
+    aft AS (SELECT predecessor_id AS paper_id, min_by(chain, sample) AS c FROM e WHERE len(chain) > 0 GROUP BY 1)
+    SELECT e.sample AS pos, array_to_string(CASE WHEN len(chain) > 0 THEN chain WHEN own.c IS NOT NULL THEN list_append(own.c, e.paper_id) WHEN aft.c IS NOT NULL THEN list_append(aft.c, e.paper_id) ELSE chain END, '>') AS chain,
+           len(chain) = 0 AND coalesce(own.c, aft.c) IS NOT NULL AS repaired FROM e LEFT JOIN own USING (paper_id) LEFT JOIN aft USING (paper_id)
+    """,
+    "examples",
+)
+def g10_w05_j17_repair(read):
+    rows = read("examples").filter("sample < 2000")
+    entries = rows.select(F.col("sample").alias("pos"), F.col("paper_a").alias("paper_id"), F.col("paper_b").alias("predecessor_id"), F.when(F.col("sample") % 10 == 0, F.array("paper_b", "paper_a")).otherwise(F.array().cast("array<string>")).alias("chain"))
+    return traverse.repair_chains(entries).select("pos", F.array_join("chain", ">").alias("chain"), "repaired")
+
+
+@query("SELECT from_id, coalesce(max_by(to_id, k) FILTER (is_influential), min_by(to_id, k)) AS best FROM (SELECT *, pos * 100000 + CAST(to_id AS bigint) AS k FROM refs) GROUP BY from_id", "refs")
+def j18_predecessor(read):
+    # The selected id is that of the last influential edge, or one that is no candidate.
+    keyed = read("refs").withColumn("k", F.col("pos") * 100000 + F.col("to_id").cast("bigint"))
+    selected = F.max_by("to_id", F.when(F.col("is_influential"), F.col("k"))).alias("selected_id")
+    rows = keyed.groupBy("from_id").agg(F.when(F.bool_or("is_influential"), selected).alias("selected_id"), F.array_sort(F.collect_list(F.struct("k", F.col("to_id").alias("paper_id")))).alias("candidates"))
+    return traverse.resolve_predecessor(rows).select("from_id", F.col("predecessor.paper_id").alias("best"))
+
+
+@query("SELECT n_name AS version, CASE WHEN n_nationkey = 3 THEN 'production' WHEN n_regionkey = 1 THEN 'archived' ELSE 'staging' END AS stage FROM nation")
+def k22_promote(read):
+    rows = read("nation").select(F.col("n_name").alias("version"), F.when(F.col("n_regionkey") == 1, "production").otherwise("staging").alias("stage"), F.lit(None).cast("timestamp").alias("updated_at"), "n_nationkey")
+    name = rows.filter("n_nationkey = 3").first()["version"]
+    return training.promote(rows, name, "production", F.timestamp_seconds(F.lit(0))).select("version", "stage")
+
+
+@query("SELECT n_name AS version FROM nation WHERE contains(lower(n_name), 'nation_1') ORDER BY n_name LIMIT 1")
+def j23_matching_version(read):
+    return evaluate.matching_version(read("nation").select(F.col("n_name").alias("version")), "NATION_1")
+
+
+@query("SELECT page_id, lower(url) LIKE '%blog%' AS found FROM pages WHERE contains(lower(url), 'blog')")
+def p40_file_search(read):
+    from citemill.sources.readers import find_files
+
+    return find_files(read("pages").select("page_id", F.col("url").alias("name")), "BLOG").select("page_id", F.lit(True).alias("found"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'a' || c_custkey WHEN c_nationkey % 2 = 0 THEN 'open' ELSE NULL END AS url, CASE WHEN c_acctbal > 0 THEN 'arxiv' WHEN c_nationkey % 2 = 0 THEN 'semantic_scholar' END AS source FROM customer")
+def x27_pdf_source(read):
+    c = read("customer")
+    found = ids.pdf_source(F.when(F.col("c_acctbal") > 0, F.col("c_custkey").cast("string")), F.when(F.col("c_nationkey") % 2 == 0, "open"), F.lit(None).cast("string"))
+    rows = c.select("c_custkey", found.alias("f"))
+    return rows.select("c_custkey", F.regexp_replace("f.url", r"^https://arxiv.org/pdf/(\d+)\.pdf$", "a$1").alias("url"), "f.source")
+
+
+@query("SELECT kind, CAST(count(*) AS bigint) AS nodes FROM (SELECT 'target' AS kind)  GROUP BY kind")
+def a33_tree_target(read):
+    nodes = traverse.tree(read("papers"), read("refs"), read("cits"), "5")
+    return nodes.filter("node_type = 'target'").groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("nodes"))
