@@ -102,53 +102,62 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
+#: Prefix of the columns that mix() adds or needs; columns of documents keep their names.
+OWN = "_mix_"
+
+
 def _marked(docs: DataFrame, digits: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with _size, _source, _key and _range, the first digits of the key."""
-    keyed = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_source", _source_key(F.col(source_col))).withColumn("_key", permutation_key(F.col(id_col)))
-    return keyed.withColumn("_range", F.substring("_key", 1, digits))
+    """docs with size, source, key and range (the first digits of the key), under own names."""
+    keyed = docs.withColumns({f"{OWN}size": word_count(F.col(text_col)), f"{OWN}source": _source_key(F.col(source_col)), f"{OWN}key": permutation_key(F.col(id_col))})
+    return keyed.withColumn(f"{OWN}range", F.substring(f"{OWN}key", 1, digits))
 
 
 def _plan(marked: DataFrame, shards: int, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, DataFrame]:
-    """The sources (_source, source_size, target, block_words, blocks, quota, starts), and the words before each range."""
-    ranges = written(marked.groupBy("_source", "_range").agg(F.sum("_size").alias("words"), F.count("*").alias("rows")), "ranges")
-    names = F.when(F.col("_source") == "", F.lit(None)).otherwise(F.substring("_source", 2, 1 << 30))
-    sizes = ranges.groupBy("_source").agg(F.sum("words").alias("source_size")).select(names.alias("source"), "source_size")
+    """The sources (source, source_size, target, block_words, blocks, quota, starts), and the words before each range, all
+    columns under own names. The list of sources has the size of a configuration: one row for each."""
+    short = marked.select(*[F.col(f"{OWN}{c}").alias(c) for c in ("source", "range", "size")])
+    ranges = written(short.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
+    names = F.when(F.col("source") == "", F.lit(None)).otherwise(F.substring("source", 2, 1 << 30))
+    sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size")).withColumn("source", names)
     quotas = written(targets(sizes, weights, max_repeats).coalesce(1), "quotas")
     tree = written(split_quotas(quotas, shards).withColumnRenamed("source", "name").coalesce(1), "tree")
-    sources = quotas.join(tree, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("_source", _source_key(F.col("source")))
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = ranges.select("_source", "_range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_before"))
-    return written(sources.drop("source"), "sources"), written(prefix, "prefixes")
+    sources = quotas.join(tree, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("source", _source_key(F.col("source")))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = ranges.select("source", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    named = [t.select(*[F.col(c).alias(f"{OWN}{c}") for c in t.columns]) for t in (sources, prefix)]
+    return written(named[0], "sources"), written(named[1], "prefixes")
 
 
 def mix(docs: DataFrame, shards: int = OUTPUT_SHARDS, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, with all columns, and _size, _source_size, _target, _times (0 to max_repeats copies taken) and
-    _shards (the output shard of each copy)."""
+    """The rows of docs, with all columns, and _mix_size, _mix_source_size, _mix_target, _mix_times (0 to max_repeats
+    copies taken) and _mix_shards (the output shard of each copy)."""
+    own = lambda c: F.col(f"{OWN}{c}")
     small = docs.select(*{id_col, text_col, source_col})
     digits = max(1, min(6, (max(1, docs.count() // RANGE_ROWS)).bit_length() // 4 + 1))
-    sources, prefix = _plan(_marked(small, digits, id_col, text_col, source_col).select("_source", "_range", "_size"), shards, weights, max_repeats)
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = _marked(docs, digits, id_col, text_col, source_col).withColumn("_in_range", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(prefix, ["_source", "_range"]).join(sources, "_source")
-    block = F.least(F.floor((F.col("_before") + F.col("_in_range")) / F.col("block_words")).cast("int"), F.greatest(F.col("blocks") - 1, F.lit(0)))
-    whole, part = F.coalesce(F.try_divide(F.col("quota") - F.col("_rest"), F.col("blocks")).cast("int"), F.lit(0)), F.col("_block") < F.col("_rest")
-    rest = F.when(F.col("blocks") > 0, F.col("quota") % F.greatest(F.col("blocks"), F.lit(1))).otherwise(F.lit(0))
-    rows = rows.withColumn("_block", block).withColumn("_rest", rest).withColumn("_times", whole + part.cast("int"))
-    numbers = F.when(F.col("_times") > 0, F.sequence(F.lit(0), F.col("_times") - 1)).otherwise(F.array().cast("array<int>"))
-    shard_of = F.transform(numbers, lambda c: F.size(F.filter("starts", lambda s: s <= F.col("_block") + c * F.col("blocks"))) - 1)
-    return rows.select(*[docs[c] for c in docs.columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_times", shard_of.alias("_shards"))
+    sources, prefix = _plan(_marked(small, digits, id_col, text_col, source_col), shards, weights, max_repeats)
+    inside = Window.partitionBy(f"{OWN}source", f"{OWN}range").orderBy(f"{OWN}key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _marked(docs, digits, id_col, text_col, source_col).withColumn(f"{OWN}inside", F.coalesce(F.sum(f"{OWN}size").over(inside), F.lit(0)))
+    rows = rows.join(prefix, [f"{OWN}source", f"{OWN}range"]).join(sources, f"{OWN}source")
+    block = F.least(F.floor((own("before") + own("inside")) / own("block_words")).cast("int"), F.greatest(own("blocks") - 1, F.lit(0)))
+    rest = F.when(own("blocks") > 0, own("quota") % F.greatest(own("blocks"), F.lit(1))).otherwise(F.lit(0))
+    rows = rows.withColumn(f"{OWN}block", block).withColumn(f"{OWN}rest", rest)
+    whole = F.coalesce(F.try_divide(own("quota") - own("rest"), own("blocks")).cast("int"), F.lit(0))
+    rows = rows.withColumn(f"{OWN}times", whole + (own("block") < own("rest")).cast("int"))
+    numbers = F.when(own("times") > 0, F.sequence(F.lit(0), own("times") - 1)).otherwise(F.array().cast("array<int>"))
+    shard_of = F.transform(numbers, lambda c: F.size(F.filter(own("starts"), lambda s: s <= own("block") + c * own("blocks"))) - 1)
+    return rows.withColumn(f"{OWN}shards", shard_of).select(*docs.columns, *[f"{OWN}{c}" for c in ("size", "source_size", "target", "times", "shards")])
 
 
 def drawn(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, with the columns of docs, and _shard and _position, the
-    key by which a shard's copies are shuffled."""
-    copies = mix(docs, **options).select(*docs.columns, F.posexplode("_shards").alias("_copy", "_shard"))
-    position = F.xxhash64(F.lit(SEED), "_shard", "_copy", *[c for c in ("doc_id",) if c in docs.columns])
-    return copies.withColumn("_position", position).drop("_copy")
+    """The mixed corpus: each document as often as it is taken, with the columns of docs, and _mix_shard and
+    _mix_position, the key by which a shard's copies are shuffled."""
+    copies = mix(docs, **options).select("*", F.posexplode(f"{OWN}shards").alias(f"{OWN}copy", f"{OWN}shard"))
+    position = F.xxhash64(F.lit(SEED), f"{OWN}shard", f"{OWN}copy", *[c for c in ("doc_id",) if c in docs.columns])
+    return copies.withColumn(f"{OWN}position", position).select(*docs.columns, f"{OWN}shard", f"{OWN}position")
 
 
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mix(docs)
-    taken = (F.col("_size") * F.col("_times")).cast("long")
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), F.col("_times").alias("times"), F.array_join("_shards", ",").alias("shards"))
+    taken = (F.col("_mix_size") * F.col("_mix_times")).cast("long")
+    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.col("_mix_times").alias("times"), F.array_join("_mix_shards", ",").alias("shards"))

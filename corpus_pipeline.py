@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing. Part of the llm subpackage."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing. Part of the llm subpackage.
+
+Every stage takes what the one before kept. Defined results: null texts count as empty, and empty texts are documents like
+others (one of them stays after exact dedup); null ids yield to others; rows that repeat id and text count as one from exact
+dedup on, until the mix repeats documents; null sources are a source of their own, the last; tables without rows
+give tables without rows; columns that documents may have besides stay as they are, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -160,8 +160,8 @@ def test_next_document_across_ranges(spark):
 def test_mixing(odd, empty):
     rows = mixing.mix(odd)
     assert ids(rows) == EVERY_ID and rows.columns[:4] == odd.columns and mixing.mix(empty).count() == 0
-    assert all(r._times <= 3 for r in rows.collect())
-    assert mixing.drawn(odd).count() == sum(r._times for r in rows.collect())
+    assert all(r._mix_times <= 3 for r in rows.collect())
+    assert mixing.drawn(odd).count() == sum(r._mix_times for r in rows.collect())
 
 
 def test_tree_keeps_quotas(spark):
