@@ -5,8 +5,8 @@ shards are found without moving rows: each round counts the exact bytes and rows
 partitions at once, and puts the next probes inside the one interval that holds a splitter's target. The driver
 sees counts for at most PROBES intervals a splitter and round, whatever the size of the table.
 
-Equal texts are neighbours in that order, so they share a shard, unless the group is larger than the tolerance
-allows; then the splitter goes between two of its documents.
+Equal texts are neighbours in that order, so they share a shard, unless a splitter would have to move by more than
+GROUP_TOLERANCE to spare the group; then it goes between two of the group's documents.
 
 Defined results: a null text has no bytes and crc32 0; an empty table gives an empty table; repeated rows are
 separate documents with slots of their own; other columns are not read.
@@ -25,6 +25,8 @@ SHARDS = 24
 ROW_OVERHEAD = 8
 #: How far, as a share of a shard's bytes, a splitter may be from its target.
 TOLERANCE = 0.005
+#: The same for a splitter that would cut a group of equal texts: within this share it goes to the group's nearer end.
+GROUP_TOLERANCE = 0.025
 #: Each round cuts an interval into 2 ** PROBE_BITS.
 PROBE_BITS = 10
 KEY_BITS = 62
@@ -102,11 +104,15 @@ def _search(rows: DataFrame, column: str, splitters: list[Splitter], slack: int)
     return heavy
 
 
-def splitters(rows: DataFrame, shards: int, total: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+def splitters(rows: DataFrame, shards: int, total: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> list[tuple[int, int]]:
     """Keys (text_key, id_key), ascending: a row belongs to the shard numbered by how many of them are at or below its own key."""
     slack = int(total / shards * tolerance)
     found = [Splitter(n, 0, KEY_BITS, total * n // shards) for n in range(1, shards)]
     heavy = _search(rows, "text_key", found, slack)
+    for s in heavy:
+        if min(s.inside, s.size - s.inside) <= total / shards * group_tolerance:
+            s.done = s.low + (2 * s.inside > s.size)
+    heavy = [s for s in heavy if s.done is None]
     keys = [(s.done, 0) for s in found if s.done is not None]
     inner = [Splitter(s.number, 0, KEY_BITS, s.inside, within=s.low) for s in heavy]
     _search(rows.filter(F.col("text_key").isin(sorted({s.within for s in inner}))), "id_key", inner, slack)
