@@ -9,6 +9,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,16 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
     """id, pagerank. Starts uniform; the mass of vertices without out-edges goes to all alike; stops when the absolute
     changes sum to less than n * tolerance, or, with fixed, after exactly the given rounds.
 
-    edges are distinct. Each round sends every vertex's share along its edges: one join on src, whose side stays
-    partitioned, and one aggregation by dst with partial sums.
+    edges are distinct. They are dealt out by src once and kept so; each round joins the ranks to them and sums by dst
+    with partial sums, so that a round moves a row per vertex and a partial sum per vertex and task, never the edges.
+    What an executor loses of the kept edges is read again from the written table.
     """
     n = vertices.count()
     if not n:
         return vertices.withColumn("pagerank", F.lit(0.0))
     out = written(edges.groupBy("src").agg(F.count("*").alias("out")), "out-degree")
-    links = written(edges.join(out, "src").select("src", "dst", "out"), "links")
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = written(edges.join(out, "src").select("src", "dst", "out"), "links").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = written(vertices.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select("id", F.lit(1.0 / n).alias("pagerank"), F.col("out").isNull().alias("dangling")), "ranks")
     for _ in range(rounds):
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0))).first()[0]
@@ -53,6 +56,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
         ranks = step.drop("change")
         if not fixed and step.agg(F.sum("change")).first()[0] < n * tolerance:
             break
+    links.unpersist()
     return ranks.select("id", "pagerank")
 
 
