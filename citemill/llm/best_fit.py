@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from citemill.llm.common import read_table, text_or_empty, written
 
@@ -34,10 +37,19 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 LOT_ROWS = 20_000
-#: Words whose ids a task remembers; then it starts anew.
-MEMORY_WORDS = 200_000
-#: White space on which a text may be cut: it separates words for the tokenizer as well.
-CUT = re.compile(r"[ \t\n\r]+")
+#: Words whose ids a worker remembers, about 200 bytes each; then it starts anew.
+MEMORY_WORDS = 1_000_000
+#: Words that are encoded in one call.
+TOGETHER = 2000
+#: Characters that str.split() takes as white space and the tokenizer doesn't.
+NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+SPACE = re.compile(r"[ \t\n\r]+")
+#: Letters and figures, then ASCII punctuation: the tokenizer always parts them.
+PARTED = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~]+)")
+#: Letters whose lower case and whose bytes don't depend on what stands beside them.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A tokenizer that gives these what its model alone gives their byte-level lower case may be asked so for all LETTERS.
+PROBES = ("a", "Hello", "STRASSE", "\u00c9lan", "ni\u00f1o", "stra\u00dfe", "\u00d8re", "unbelievably")
 
 
 class WordEncoder:
@@ -46,18 +58,73 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        self.mark_id, self.mark = special[0] if special else (None, None)
+        self.model = self.tokenizer.model
+        in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.in_bytes = {n: in_bytes.pre_tokenize_str(chr(n))[0][0] for n in range(0xC0, 0x100)}
+        self.direct = all(self._of_letters(w.lower()) == self._whole(w) for w in PROBES)
 
     def encode(self, text: str) -> bytes:
-        words = CUT.split(text)
+        words = SPACE.split(text) if any(c in text for c in NOT_SPACE) else text.split()
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > MEMORY_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, dtype="<u4").tobytes()
+        if new:
+            if len(known) + 3 * len(new) > MEMORY_WORDS:
+                known.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _of_letters(self, word: str) -> bytes:
+        """Ids of a word of lower-case LETTERS, from the model alone."""
+        plain = word if word.isascii() else word.translate(self.in_bytes)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. A word that ends in punctuation is two, and letters are known by their lower case."""
+        known, later, rest = self.known, [], {}
+        for word in words:
+            m = None if word.isalpha() else PARTED.fullmatch(word)
+            stem, end = m.groups() if m else (word, "")
+            if self.direct and stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
+                stem = stem.lower()
+                if stem not in known:
+                    known[stem] = self._of_letters(stem)
+            elif stem not in known:
+                rest[stem] = None
+            if end and end not in known:
+                rest[end] = None
+            later.append((word, stem, end))
+        listed = list(rest)
+        for at in range(0, len(listed), TOGETHER):
+            self._encode(listed[at : at + TOGETHER])
+        for word, stem, end in later:
+            known[word] = known[stem] + known[end] if end else known[stem]
+
+    def _encode(self, words: list[str]) -> None:
+        """One call for all words, with a special token between them; words that hold such a token are encoded alone."""
+        plain = [w for w in words if self.mark and "<|" not in w]
+        if plain:
+            ids = np.array(self.tokenizer.encode(self.mark.join(plain), add_special_tokens=False).ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            coded, start = ids.tobytes(), 0
+            for word, end in zip(plain, ends, strict=True):
+                self.known[word] = coded[4 * start : 4 * end]
+                start = end + 1
+        for word in words if not plain else (w for w in words if "<|" in w):
+            self.known[word] = self._whole(word)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder; later tasks of the worker find the words that earlier ones met."""
+    return WordEncoder(path)
+
 
 class TightestBin:
     """Open bins by remaining capacity: a segment tree whose leaf c counts the bins with c left.
@@ -118,7 +185,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             rows: list[int] = []
             cut: list[tuple[int, int, int, int]] = []
