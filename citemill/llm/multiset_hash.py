@@ -37,54 +37,58 @@ MAX_RUNS = 1 << 16
 KNOTS = 64
 
 
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, PARAGRAPH_END), lambda p: F.trim(p) != "")
+# The expressions have some 200 terms, so they are written as SQL: one call instead of one for each term.
 
 
-def _zero() -> Column:
-    return F.struct(F.lit(0).alias("n"), *[F.lit(0).cast("long").alias(f"w{i}") for i in range(WIDE_LANES)], *[F.lit(0).cast("long").alias(f"s{i}") for i in range(PACKED)])
+def paragraphs(column: str) -> str:
+    return f"filter(split({column}, r'{PARAGRAPH_END}'), p -> trim(p) <> '')"
 
 
-def multiset_sum(items: Column) -> Column:
-    """The vector of an array of paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s31 (packed lanes)."""
-    hashed = F.transform(items, lambda p: F.struct(*[F.xxhash64(p, F.lit(i)).alias(f"h{i}") for i in range(WIDE_LANES)]))
+def _struct(n: str, wide: list[str], packed: list[str]) -> str:
+    return "named_struct(" + ", ".join([f"'n', {n}", *(f"'w{i}', {x}" for i, x in enumerate(wide)), *(f"'s{i}', {x}" for i, x in enumerate(packed))]) + ")"
 
-    def add(acc: Column, h: Column) -> Column:
-        wide = [(acc[f"w{i}"] + h[f"h{i}"].bitwiseAND(F.lit(WIDE_MASK))).bitwiseAND(F.lit(WIDE_MASK)).alias(f"w{i}") for i in range(WIDE_LANES)]
-        packed = []
-        for i in range(PACKED):
-            bits = F.shiftrightunsigned(h[f"h{i // SHIFTS}"], i % SHIFTS).bitwiseAND(F.lit(ONE_BITS))
-            packed.append((acc[f"s{i}"] + bits).bitwiseAND(F.lit(LANE_MASK)).alias(f"s{i}"))
-        return F.struct((acc["n"] + 1).alias("n"), *wide, *packed)
 
-    return F.aggregate(hashed, _zero(), add)
+def multiset_sum(column: str) -> Column:
+    """The vector of a text column's paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s31 (packed lanes)."""
+    hashes = ", ".join(f"'h{i}', xxhash64(p, {i})" for i in range(WIDE_LANES))
+    hashed = f"transform({paragraphs(column)}, p -> named_struct({hashes}))"
+    wide = [f"(a.w{i} + (h.h{i} & {WIDE_MASK}L)) & {WIDE_MASK}L" for i in range(WIDE_LANES)]
+    packed = [f"(a.s{i} + (shiftrightunsigned(h.h{i // SHIFTS}, {i % SHIFTS}) & {ONE_BITS}L)) & {LANE_MASK}L" for i in range(PACKED)]
+    zero = _struct("0", ["0L"] * WIDE_LANES, ["0L"] * PACKED)
+    return F.expr(f"aggregate({hashed}, {zero}, (a, h) -> {_struct('a.n + 1', wide, packed)})")
 
 
-def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """The vector of both multisets together or, with sign -1, of a without b."""
-    one = F.lit(WIDE_MASK + 1)
-    wide = [((a[f"w{i}"] + b[f"w{i}"]) if sign > 0 else (a[f"w{i}"] + (one - b[f"w{i}"]))).bitwiseAND(F.lit(WIDE_MASK)).alias(f"w{i}") for i in range(WIDE_LANES)]
-    top = F.lit(0x4000400040004000)
-    packed = [((a[f"s{i}"] + b[f"s{i}"]) if sign > 0 else (a[f"s{i}"] + (top - b[f"s{i}"]))).bitwiseAND(F.lit(LANE_MASK)).alias(f"s{i}") for i in range(PACKED)]
-    return F.struct((a["n"] + sign * b["n"]).alias("n"), *wide, *packed)
+def combine(a: str, b: str, sign: int = 1) -> Column:
+    """The vector of both columns' multisets together or, with sign -1, of a without b."""
+    part = lambda name, top, mask: f"({a}.{name} + {f'{b}.{name}' if sign > 0 else f'({top}L - {b}.{name})'}) & {mask}L"
+    wide = [part(f"w{i}", WIDE_MASK + 1, WIDE_MASK) for i in range(WIDE_LANES)]
+    packed = [part(f"s{i}", LANE_MASK + ONE_BITS, LANE_MASK) for i in range(PACKED)]
+    return F.expr(_struct(f"{a}.n + {sign} * {b}.n", wide, packed))
 
 
-def as_string(v: Column) -> Column:
+def _listed(v: str, packed_only: bool = False) -> str:
+    names = [] if packed_only else [f"{v}.w{i}" for i in range(WIDE_LANES)]
+    return f"array({', '.join([*names, *(f'{v}.s{i}' for i in range(PACKED))])})"
+
+
+def as_string(v: str) -> Column:
     """The fingerprint: number of paragraphs, wide lanes and packed lanes in hexadecimal digits."""
-    parts = [v[f"w{i}"] for i in range(WIDE_LANES)] + [v[f"s{i}"] for i in range(PACKED)]
-    return F.concat(F.lpad(F.hex(v["n"]), 8, "0"), *[F.lpad(F.hex(x), 16, "0") for x in parts])
+    return F.expr(f"concat(lpad(hex({v}.n), 8, '0'), array_join(transform({_listed(v)}, x -> lpad(hex(x), 16, '0')), ''))")
+
+
+def lanes(v: str) -> Column:
+    """The signed one-bit lanes of a vector column: array of 2 c - n."""
+    mask = (1 << LANE_BITS) - 1
+    four = ", ".join(f"(shiftright(s, {16 * j}) & {mask}L) * 2 - {v}.n" for j in range(4))
+    return F.expr(f"flatten(transform({_listed(v, True)}, s -> array({four})))")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, from two vectors alone."""
-    lanes = lambda v: F.flatten(F.array(*[F.array(*[F.shiftright(v[f"s{i}"], 16 * j).bitwiseAND(F.lit(0x3FFF)) * 2 - v["n"] for j in range(4)]) for i in range(PACKED)]))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, p: s + p)
-    x, y = lanes(a), lanes(b)
-    same = F.lit(True)
-    for i in range(WIDE_LANES):
-        same = same & (a[f"w{i}"] == b[f"w{i}"])
-    cosine = F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
-    return F.when(same & (a["n"] == b["n"]), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), F.lit(0.0)))
+def likeness(a: str, b: str, lanes_a: str, lanes_b: str) -> Column:
+    """0 to 1, from two vector columns and the columns of their lanes."""
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> cast(p * q as double)), 0d, (s, p) -> s + p)"
+    same = " and ".join(f"{a}.{c} = {b}.{c}" for c in ["n", *(f"w{i}" for i in range(WIDE_LANES))])
+    cosine = f"try_divide({dot(lanes_a, lanes_b)}, sqrt({dot(lanes_a, lanes_a)} * {dot(lanes_b, lanes_b)}))"
+    return F.expr(f"case when {same} then 1d when {a}.n = 0 or {b}.n = 0 then 0d else coalesce(greatest(0d, least(1d, {cosine})), 0d) end")
 
 
 def _runs(id_col: Column, knots: list[float], runs: int) -> Column:
@@ -124,7 +128,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = F.struct("run", F.lit(False).alias("extra"))
     extra = F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.struct(F.col("before").alias("run"), F.lit(True).alias("extra")))
     dealt = beside.select("doc_id", "text", F.explode(F.array_compact(F.array(own, extra))).alias("place")).select("doc_id", "text", "place.*").repartition("run")
-    summed = dealt.withColumn("vector", multiset_sum(paragraphs(F.col("text"))))
+    summed = dealt.withColumn("vector", multiset_sum("text"))
     order = Window.partitionBy("run").orderBy("extra", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     next_row = F.lead(F.struct("text", "vector")).over(order)
     return summed.withColumn("next", next_row).filter(~F.col("extra")).select("doc_id", "text", "vector", F.col("next.text").alias("next_text"), F.col("next.vector").alias("next_vector"))
@@ -136,13 +140,14 @@ def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", n.alias("n_chars"), "vector", "next_vector", edited.alias("edited"))
-    rows = rows.withColumn("edited_vector", multiset_sum(paragraphs(F.col("edited"))))
+    rows = rows.withColumn("edited_vector", multiset_sum("edited"))
+    rows = rows.select("*", *[lanes(v).alias(f"{v}_lanes") for v in ("vector", "edited_vector", "next_vector")])
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_string(F.col("vector")).alias("fingerprint"),
-        as_string(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-        likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        as_string("vector").alias("fingerprint"),
+        as_string("edited_vector").alias("edited_fingerprint"),
+        likeness("vector", "edited_vector", "vector_lanes", "edited_vector_lanes").alias("near_edited"),
+        likeness("vector", "next_vector", "vector_lanes", "next_vector_lanes").alias("near_next"),
     )

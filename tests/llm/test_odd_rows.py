@@ -138,17 +138,18 @@ def test_index_merges_runs(odd, spark):
 def test_multiset_is_homomorphic(odd, empty, spark):
     texts = {"a": "One here. Two.", "b": "Three\nfour", "both": "One here. Two.\nThree\nfour", "swapped": "four\nTwo.\nThree\nOne here.", "none": ""}
     table = spark.createDataFrame(list(texts.items()), "name string, text string")
-    table = written(table.withColumn("v", multiset_hash.multiset_sum(multiset_hash.paragraphs(F.col("text")))), "test")
+    table = written(table.withColumn("v", multiset_hash.multiset_sum("text")), "test")
     sides = {n: table.filter(F.col("name") == n).select(F.col("v").alias(n)) for n in texts}
     row = written(sides["a"].join(sides["b"]).join(sides["both"]).join(sides["swapped"]).join(sides["none"]), "test")
-    s, a, b, both, none = multiset_hash.as_string, *map(F.col, ("a", "b", "both", "none"))
-    row = written(row.select("*", multiset_hash.combine(a, b).alias("c"), multiset_hash.combine(both, b, -1).alias("d")), "test")
-    row = row.select(s(F.col("c")).alias("sum"), s(both).alias("both"), s(F.col("swapped")).alias("swapped"), s(F.col("d")).alias("rest"), s(a).alias("a"), multiset_hash.likeness(a, b).alias("far"), multiset_hash.likeness(both, a).alias("near"), multiset_hash.likeness(none, none).alias("none")).first()
+    s = multiset_hash.as_string
+    row = written(row.select("*", multiset_hash.combine("a", "b").alias("c"), multiset_hash.combine("both", "b", -1).alias("d"), *[multiset_hash.lanes(n).alias(f"{n}_lanes") for n in texts]), "test")
+    near = lambda x, y: multiset_hash.likeness(x, y, f"{x}_lanes", f"{y}_lanes")
+    row = row.select(s("c").alias("sum"), s("both").alias("both"), s("swapped").alias("swapped"), s("d").alias("rest"), s("a").alias("a"), near("a", "b").alias("far"), near("both", "a").alias("near"), near("none", "none").alias("none")).first()
     assert row["sum"] == row.both == row.swapped and row.rest == row.a
     assert row.far < 0.35 < row.near < 1 and row.none == 1
     assert ids(multiset_hash.with_next(odd)) == EVERY_ID and multiset_hash.with_next(empty).count() == 0
     long = spark.createDataFrame([(1, "word.\n" * 40000), (2, "a")], "doc_id long, text string")
-    assert multiset_hash.with_next(long).select(s(F.col("vector"))).count() == 2
+    assert multiset_hash.with_next(long).select(s("vector")).count() == 2
 
 
 def test_next_document_across_ranges(spark):
