@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citemill.sources.storage import shared_folder
+
 #: White space of the word contracts: space and U+0009 to U+000D.
 SPACE = " \\x09-\\x0D"
 #: A key is hot when it holds more than one in so many rows; so there are at most as many hot keys.
 HOT_PARTS = 1000
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share.
-
-    Where the setting is missing (local tests), a folder of this application is made and set.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        app = spark.sparkContext.applicationId
-        folder = _own_folder.setdefault(app, "") or tempfile.mkdtemp(prefix="citemill-")
-        _own_folder[app] = folder
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
