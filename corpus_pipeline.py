@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import best_fit, digest_index, mixing, simhash_dedup, toxicity
+from citemill.llm import best_fit, digest_index, mixing, shingle_links, toxicity
 from citemill.llm.common import read_table, written
 
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays."""
-    return simhash_dedup.deduplicate(docs)
+    """Of each component of near-duplicates, by five-word shingles, the document with the smallest doc_id stays."""
+    return shingle_links.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
