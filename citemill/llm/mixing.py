@@ -4,7 +4,9 @@ Each source's target is a number of equal blocks of words. The quotas of blocks
 every node half of the blocks, drawn without replacement from all sources together, go to the left child, so that the
 counts by source follow the multivariate hypergeometric law, until each leaf is an output shard. A source's documents
 are permuted by a hash; its blocks are runs of that order, and shards take disjoint runs of blocks, going through
-the source again when the quota is larger than the source. In a shard the copies are shuffled by another hash.
+the source again when the target is larger than the source. Blocks only deal copies to shards: which documents are taken,
+and how often, follows from the words before each, so a source meets its target within one document however small it is.
+In a shard the copies are shuffled by another hash.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at
 MAX_REPEATS times the source's size and what is over is shared again by weight, until none is above.
@@ -37,7 +39,8 @@ def permutation_key(id_col: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size -> also target, quota and blocks, where block_words are the words of a block.
+    """source, source_size -> also target, words (the target in whole words, 1 at least unless the source is empty),
+    block_words, the words of a block, and quota, the blocks that hold the target's words.
 
     Weights fill all sources at one level until a source reaches its limit; ordered by limit over weight, the level at
     each source follows from what the full sources before it hold.
@@ -56,10 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     common = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(everything)
     target = F.least(F.col("limit"), F.coalesce(common, F.lit(0.0)) * F.col("weight"))
     words = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCKS)).cast("long")
-    blocks = F.ceil(F.col("source_size") / F.col("block_words")).cast("int")
-    quota = F.least(F.round(F.col("target") / F.col("block_words")).cast("int"), F.col("blocks") * max_repeats)
-    out = level.withColumn("target", target).withColumn("block_words", words).withColumn("blocks", blocks).withColumn("quota", quota)
-    return out.select("source", "source_size", "target", "block_words", "blocks", "quota")
+    wanted = F.least(F.greatest(F.lit(1), F.round("target").cast("long")), F.col("source_size") * max_repeats)
+    quota = F.ceil(F.col("words") / F.col("block_words")).cast("int")
+    out = level.withColumn("target", target).withColumn("block_words", words).withColumn("words", wanted).withColumn("quota", quota)
+    return out.select("source", "source_size", "target", "words", "block_words", "quota")
 
 
 def split_quotas(quotas: DataFrame, shards: int = OUTPUT_SHARDS) -> DataFrame:
@@ -113,7 +116,7 @@ def _marked(docs: DataFrame, digits: int, id_col: str, text_col: str, source_col
 
 
 def _plan(marked: DataFrame, shards: int, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, DataFrame]:
-    """The sources (source, source_size, target, block_words, blocks, quota, starts), and the words before each range, all
+    """The sources (source, source_size, target, words, block_words, quota, starts), and the words before each range, all
     columns under own names. The list of sources has the size of a configuration: one row for each."""
     short = marked.select(*[F.col(f"{OWN}{c}").alias(c) for c in ("source", "range", "size")])
     ranges = written(short.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
@@ -135,16 +138,16 @@ def mix(docs: DataFrame, shards: int = OUTPUT_SHARDS, weights: tuple[int, ...] =
     small = docs.select(*{id_col, text_col, source_col})
     digits = max(1, min(6, (max(1, docs.count() // RANGE_ROWS)).bit_length() // 4 + 1))
     sources, prefix = _plan(_marked(small, digits, id_col, text_col, source_col), shards, weights, max_repeats)
-    inside = Window.partitionBy(f"{OWN}source", f"{OWN}range").orderBy(f"{OWN}key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(f"{OWN}source", f"{OWN}range").orderBy(f"{OWN}key", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
     rows = _marked(docs, digits, id_col, text_col, source_col).withColumn(f"{OWN}inside", F.coalesce(F.sum(f"{OWN}size").over(inside), F.lit(0)))
     rows = rows.join(prefix, [f"{OWN}source", f"{OWN}range"]).join(sources, f"{OWN}source")
-    block = F.least(F.floor((own("before") + own("inside")) / own("block_words")).cast("int"), F.greatest(own("blocks") - 1, F.lit(0)))
-    rest = F.when(own("blocks") > 0, own("quota") % F.greatest(own("blocks"), F.lit(1))).otherwise(F.lit(0))
-    rows = rows.withColumn(f"{OWN}block", block).withColumn(f"{OWN}rest", rest)
-    whole = F.coalesce(F.try_divide(own("quota") - own("rest"), own("blocks")).cast("int"), F.lit(0))
-    rows = rows.withColumn(f"{OWN}times", whole + (own("block") < own("rest")).cast("int"))
+    # Copy c of a document begins c * source_size words after its first; it is taken if that is before the target's end.
+    rows = rows.withColumn(f"{OWN}place", own("before") + own("inside"))
+    times = F.ceil(F.try_divide(own("words") - own("place"), own("source_size"))).cast("int")
+    rows = rows.withColumn(f"{OWN}times", F.greatest(F.lit(0), F.coalesce(times, F.lit(0))))
     numbers = F.when(own("times") > 0, F.sequence(F.lit(0), own("times") - 1)).otherwise(F.array().cast("array<int>"))
-    shard_of = F.transform(numbers, lambda c: F.size(F.filter(own("starts"), lambda s: s <= own("block") + c * own("blocks"))) - 1)
+    block = lambda c: F.floor((own("place") + c * own("source_size")) / own("block_words"))
+    shard_of = F.transform(numbers, lambda c: F.size(F.filter(own("starts"), lambda s: s <= block(c))) - 1)
     return rows.withColumn(f"{OWN}shards", shard_of).select(*docs.columns, *[f"{OWN}{c}" for c in ("size", "source_size", "target", "times", "shards")])
 
 
