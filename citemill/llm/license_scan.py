@@ -149,7 +149,7 @@ class Scanner:
 
     def _aligned(self, name: str, words: list[str], low: int, high: int) -> Iterator[tuple[int, int, int, str, float]]:
         """The template in words[low:high], again and again in what is left beside a finding. Where no word is unique,
-        because the license stands there more than once, the halves are tried."""
+        because the license stands there more than once, it is tried at each place that a mark word gives it."""
         template = self.templates[name]
         spans = [(low, high)]
         while spans:
@@ -162,9 +162,45 @@ class Scanner:
                 start, end = low + pairs[0][0], low + pairs[-1][0] + 1
                 yield start, end, len(pairs), name, round(share, 6)
                 spans += [(low, start), (end, high)]
-            elif high - low > 2 * len(template):
-                middle = (low + high) // 2
-                spans += [(low, min(high, middle + len(template))), (max(low, middle - len(template)), high)] if high - low > 4 * len(template) else [(low, low + 2 * len(template)), (high - 2 * len(template), high)]
+            else:
+                yield from self._slid(name, words, low, high)
+
+    def _slid(self, name: str, words: list[str], low: int, high: int) -> Iterator[tuple[int, int, int, str, float]]:
+        """The template wherever a mark word of words[low:high] puts its start, places that most words agree on first. A
+        window has the template's length or, for words put in, a quarter or the whole of it more on each side."""
+        template = self.templates[name]
+        size = len(template)
+        offsets: dict[str, list[int]] = {}
+        for n, word in enumerate(template):
+            if word in self.marks[name]:
+                offsets.setdefault(word, []).append(n)
+        votes = Counter(n - k for n in range(low, high) for k in offsets.get(words[n], ()))
+        found: list[tuple[int, int, int]] = []
+        whole = bytearray(high - low)
+        for at in sorted(votes, key=lambda d: (-votes[d], d)):
+            if whole[min(max(at + size // 2, low), high - 1) - low]:
+                continue
+            best = None
+            for slack in (0, size // 4, size):
+                first, last = max(low, at - slack), min(high, at + size + slack)
+                there = Counter(words[first:last])
+                if sum(min(k, there[w]) for w, k in self.counts[name].items()) < self.coverage * size:
+                    continue
+                pairs = self._dense(align(words[first:last], template), size)
+                if len(pairs) >= self.coverage * size:
+                    one = (-len(pairs), pairs[-1][0] - pairs[0][0] + 1, first + pairs[0][0])
+                    best = one if best is None else min(best, one)
+                if best and -best[0] == size:
+                    break
+            if best:
+                found.append(best)
+                if -best[0] == best[1] == size:
+                    whole[best[2] - low : best[2] - low + size] = b"\1" * size
+        taken = bytearray(high - low)
+        for matched, length, start in sorted(found):
+            if not any(taken[start - low : start - low + length]):
+                taken[start - low : start - low + length] = b"\1" * length
+                yield start, start + length, -matched, name, round(-matched / size, 6)
 
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
