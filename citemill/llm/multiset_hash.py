@@ -4,14 +4,14 @@ A text is the multiset of its paragraphs: what lies between line breaks and, in
 hashed into a wide vector, and a document's fingerprint is the sum of the vectors, lane by lane modulo a power of two.
 So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
-The vector has two parts: 4 lanes of 62 random bits, for equality, and 128 lanes of one random bit, summed modulo
-2 ** 14 with four lanes in a long. With the number of paragraphs n, a one-bit lane with sum c is the sum 2 c - n of
+The vector has two parts: 4 lanes of 62 random bits, for equality, and 128 lanes of one random bit, summed
+with two lanes of 30 bits in a long. With the number of paragraphs n, a one-bit lane with sum c is the sum 2 c - n of
 random signs, and the products of two documents' signed lanes estimate how many paragraphs they share: likeness is the
 cosine of the two vectors, 1 for equal multisets and about 0 for disjoint ones, within about 0.09 (one deviation).
 
 Defined results: null counts as empty; texts without paragraphs have the zero fingerprint, 1 like each other and 0
-like others; an empty table gives an empty table. Beyond 2 ** 14 paragraphs equality still holds but likeness, which
-reads the lanes as if they hadn't wrapped, may be lower.
+like others; an empty table gives an empty table. Lanes don't wrap: a text, at most 2 ** 31 bytes, has fewer than
+2 ** 30 paragraphs.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from citemill.llm.common import read_table, text_or_empty, written
 PARAGRAPH_END = r"[\r\n]+|(?<=[.!?]) +"
 WIDE_LANES = 4
 WIDE_MASK = (1 << 62) - 1
-#: Four lanes of 14 bits in a long, each with two bits above for carries; 16 shifts of two hash words give 32 longs.
-LANE_MASK = 0x3FFF3FFF3FFF3FFF
-LANE_BITS = 14
-ONE_BITS = 0x0001000100010001
-WORDS, SHIFTS = 2, 16
+#: Two lanes of 30 bits in a long, each with two bits above for carries; 32 shifts of two hash words give 64 longs.
+LANE_MASK = 0x3FFFFFFF3FFFFFFF
+LANE_BITS = 30
+ONE_BITS = 0x0000000100000001
+WORDS, SHIFTS = 2, 32
 PACKED = WORDS * SHIFTS
-LANES = PACKED * 4
+LANES = PACKED * 2
 #: Documents that one task takes next to each other at a time.
 RUN_ROWS = 1_000
 MAX_RUNS = 1 << 16
@@ -49,7 +49,7 @@ def _struct(n: str, wide: list[str], packed: list[str]) -> str:
 
 
 def multiset_sum(column: str) -> Column:
-    """The vector of a text column's paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s31 (packed lanes)."""
+    """The vector of a text column's paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s63 (packed lanes)."""
     hashes = ", ".join(f"'h{i}', xxhash64(p, {i})" for i in range(WIDE_LANES))
     hashed = f"transform({paragraphs(column)}, p -> named_struct({hashes}))"
     wide = [f"(a.w{i} + (h.h{i} & {WIDE_MASK}L)) & {WIDE_MASK}L" for i in range(WIDE_LANES)]
@@ -79,8 +79,8 @@ def as_string(v: str) -> Column:
 def lanes(v: str) -> Column:
     """The signed one-bit lanes of a vector column: array of 2 c - n."""
     mask = (1 << LANE_BITS) - 1
-    four = ", ".join(f"(shiftright(s, {16 * j}) & {mask}L) * 2 - {v}.n" for j in range(4))
-    return F.expr(f"flatten(transform({_listed(v, True)}, s -> array({four})))")
+    two = ", ".join(f"(shiftright(s, {32 * j}) & {mask}L) * 2 - {v}.n" for j in range(2))
+    return F.expr(f"flatten(transform({_listed(v, True)}, s -> array({two})))")
 
 
 def likeness(a: str, b: str, lanes_a: str, lanes_b: str) -> Column:
