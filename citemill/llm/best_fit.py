@@ -44,8 +44,9 @@ TOGETHER = 2000
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 SPACE = re.compile(r"[ \t\n\r]+")
-#: Letters and figures, then ASCII punctuation: the tokenizer always parts them.
-PARTED = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~]+)")
+#: Letters and figures, then ASCII punctuation: the tokenizer always parts them. Only letters that stay letters when they
+#: are normalised and lower-cased: others may end in a combining mark, which goes with the punctuation.
+PARTED = re.compile(r"([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]+)")
 #: Letters whose lower case and whose bytes don't depend on what stands beside them.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: A tokenizer that gives these what its model alone gives their byte-level lower case may be asked so for all LETTERS.
@@ -177,6 +178,8 @@ def best_fit(lengths: list[int], capacity: int) -> Iterator[tuple[int, int]]:
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
+#: The number of a piece's row while it is packed.
+ROW = "_citemill_row"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,10 +209,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, lot_rows: int = LOT_ROWS) -> DataFrame:
     """cut with sequence_id and offset. Pieces of the full capacity stay where they are."""
-    cut = written(cut, "pieces")
+    # Pieces get numbers when they are written, so that repeated rows are dealt out like others.
+    cut = written(cut.withColumn(ROW, F.monotonically_increasing_id()), "pieces")
     open_ = cut.filter(F.col("length") < capacity)
     lots = max(1, -(-open_.count() // lot_rows))
-    dealt = open_.repartition(lots, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = open_.repartition(lots, F.xxhash64("doc_id", "piece", "ids_crc32", ROW)).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32", ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, lengths = (TaskContext.get().partitionId() + 1) << 36, []
@@ -226,7 +230,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, lot_rows: int = LOT_ROWS) ->
     # A full piece's sequence is named by a negative number; the ids of the others are at or above 0.
     whole = cut.filter(F.col("length") >= capacity)
     name = -1 - F.monotonically_increasing_id()
-    return packed.unionByName(whole.withColumn("sequence_id", name).withColumn("offset", F.lit(0).cast("long")))
+    return packed.unionByName(whole.withColumn("sequence_id", name).withColumn("offset", F.lit(0).cast("long"))).drop(ROW)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
