@@ -6,9 +6,10 @@ that a cache may update.
 
 The as-of join is by windows: within a URL's captures of one stretch of time the last full response is carried forward,
 and what each stretch ends with is carried on to later ones. So a URL with any number of captures is many small
-windows.
+windows. Records without URL or time never enter a window.
 
-Defined results: a record without URL or time is resolved to nothing (status "no-response"); responses at a revisit's
+Defined results: a revisit without URL or time is resolved to nothing (status "no-response"), whatever responses lack them
+too; responses at a revisit's
 own time don't count as earlier; of several at one time the one with the largest record_id is the latest; repeated rows
 are resolved each on its own; an empty table gives an empty table.
 """
@@ -51,15 +52,19 @@ def as_of(records: DataFrame) -> DataFrame:
     rows = written(records.withColumn("stretch", stretch).withColumn("own", full), "records")
     # Revisits come before responses of the same time, so these don't count as earlier.
     inside = Window.partitionBy("url_key", "stretch").orderBy("ts", F.when(F.col("kind") == "response", 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.withColumn("here", F.last("own", ignorenulls=True).over(inside)).filter("kind = 'revisit'")
-    ends = rows.filter("kind = 'response' and url_key is not null and ts is not null").groupBy("url_key", "stretch").agg(F.max_by("own", F.struct("ts", "record_id")).alias("own"))
-    wanted = carried.filter("here is null and url_key is not null").select("url_key", "stretch").distinct()
+    has_key = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    keyed = rows.filter(has_key)
+    apart = rows.filter(~has_key & (F.col("kind") == "revisit")).withColumn("full", F.lit(None).cast(rows.schema["own"].dataType))
+    carried = keyed.withColumn("here", F.last("own", ignorenulls=True).over(inside)).filter("kind = 'revisit'")
+    ends = keyed.filter("kind = 'response'").groupBy("url_key", "stretch").agg(F.max_by("own", F.struct("ts", "record_id")).alias("own"))
+    wanted = carried.filter("here is null").select("url_key", "stretch").distinct()
     asked = wanted.select("url_key", "stretch", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.lit(0).alias("is_end"))
     marks = ends.withColumn("is_end", F.lit(1)).unionByName(asked)
     before = Window.partitionBy("url_key").orderBy("stretch", "is_end").rowsBetween(Window.unboundedPreceding, -1)
     earlier = marks.withColumn("earlier", F.last("own", ignorenulls=True).over(before)).filter("is_end = 0").select("url_key", "stretch", "earlier")
     joined = carried.join(earlier, ["url_key", "stretch"], "left")
-    return joined.withColumn("full", F.coalesce("here", "earlier")).drop("own", "here", "earlier", "stretch")
+    found = joined.withColumn("full", F.coalesce("here", "earlier")).drop("own", "here", "earlier", "stretch")
+    return found.unionByName(apart.drop("own", "stretch"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
