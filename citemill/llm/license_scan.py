@@ -15,7 +15,7 @@ table; columns other than id and text are not read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,24 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm.common import read_table, text_or_empty
+from citemill.llm.license_texts import COMMON, TEMPLATES
 
 COVERAGE = 0.8
+#: Where so much of a template is aligned in no more words than it has, its other places there aren't tried.
+NEARLY_WHOLE = 0.95
 WORD = re.compile(r"[^\W_]+(?:[.'+][^\W_]+)*")
-#: Wording of public licenses and of the usual notices that name them.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-}
-#: Words too common to mark the place of a license.
-COMMON = frozenset("a all and any are as at be by copy file for free if in is it may no not of on or other see that the this to under use version with work you".split())
 
 
 def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -116,7 +104,7 @@ class Scanner:
         self.any_mark = frozenset().union(*self.marks.values())
 
     def scan(self, text: str) -> list[Finding]:
-        """All findings, by start; where one lies inside another, the one with more template words stays."""
+        """All findings, by start; where some overlap, the one with more template words stays, then the better covered."""
         words, starts, ends = words_of(text)
         places: dict[str, list[int]] = {}
         for n, word in enumerate(words):
@@ -133,11 +121,15 @@ class Scanner:
                 if sum(min(k, there[w]) for w, k in self.counts[name].items()) < self.coverage * len(template):
                     continue
                 found += self._aligned(name, words, low, high)
+        begins: list[int] = []  # of the findings that stay, ascending, with the findings beside them
         best: list[tuple[int, int, int, str, float]] = []
-        for f in sorted(found, key=lambda f: (-f[2], f[0], f[3])):
-            if all(f[1] <= g[0] or g[1] <= f[0] for g in best):
-                best.append(f)
-        return [Finding(f[3], starts[f[0]], ends[f[1] - 1], f[4]) for f in sorted(best)]
+        for f in sorted(found, key=lambda f: (-f[2], -f[4], f[0], f[3])):
+            at = bisect_right(begins, f[0])
+            if (at and best[at - 1][1] > f[0]) or (at < len(best) and begins[at] < f[1]):
+                continue
+            begins.insert(at, f[0])
+            best.insert(at, f)
+        return [Finding(f[3], starts[f[0]], ends[f[1] - 1], f[4]) for f in best]
 
     @staticmethod
     def _runs(marked: list[int], reach: int) -> Iterator[tuple[int, int]]:
@@ -148,14 +140,18 @@ class Scanner:
                 at = n
 
     def _aligned(self, name: str, words: list[str], low: int, high: int) -> Iterator[tuple[int, int, int, str, float]]:
-        """The template in words[low:high], again and again in what is left beside a finding. Where no word is unique,
-        because the license stands there more than once, it is tried at each place that a mark word gives it."""
+        """The template in words[low:high], again and again in what is left beside a finding. Where the license stands there
+        more than once, so that no word is unique, it is tried at each place that a mark word gives it."""
         template = self.templates[name]
         spans = [(low, high)]
         while spans:
             low, high = spans.pop()
             if high - low < self.coverage * len(template):
                 continue
+            there = Counter(words[low:high])
+            if min(there[w] // k for w, k in self.counts[name].items()) > 1:
+                yield from self._slid(name, words, low, high)
+                continue
             pairs = self._dense(align(words[low:high], template), len(template))
             share = len(pairs) / len(template)
             if share >= self.coverage:
@@ -194,8 +190,8 @@ class Scanner:
                     break
             if best:
                 found.append(best)
-                if -best[0] == best[1] == size:
-                    whole[best[2] - low : best[2] - low + size] = b"\1" * size
+                if -best[0] >= NEARLY_WHOLE * size and best[1] <= size:
+                    whole[best[2] - low : best[2] - low + best[1]] = b"\1" * best[1]
         taken = bytearray(high - low)
         for matched, length, start in sorted(found):
             if not any(taken[start - low : start - low + length]):
