@@ -1,19 +1,21 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source's target is a number of equal blocks of words. The quotas of blocks stand at the root of a binary tree; at
-every node half of the blocks, drawn without replacement from all sources together, go to the left child, so that the
-counts by source follow the multivariate hypergeometric law, until each leaf is an output shard. A source's documents
-are permuted by a hash; its blocks are runs of that order, and shards take disjoint runs of blocks, going through
-the source again when the target is larger than the source. Blocks only deal copies to shards: which documents are taken,
-and how often, follows from the words before each, so a source meets its target within one document however small it is.
-In a shard the copies are shuffled by another hash.
+Each source's target is a number of equal blocks of its words, at least SOURCE_BLOCKS unless it has fewer words. The quotas
+of blocks stand at the root of a binary tree; at every node half of the blocks, drawn without replacement from all sources
+together, go to the left child, so that the counts by source follow the multivariate hypergeometric law, until each leaf is
+an output shard. A source's documents are permuted by a hash; its blocks are runs of that order, and shards take disjoint
+runs of blocks, going through the source again when the target is larger than the source. Blocks only deal copies to
+shards: which documents are taken, and how often, follows from the words before each. Of the last document just the words
+are taken that the target still lacks, so a source, however small, takes its target to the word. drawn() gives the
+copies by shard, each shard shuffled by another hash.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at
 MAX_REPEATS times the source's size and what is over is shared again by weight, until none is above.
 
-Defined results: a text without words (or null) has size 0 and is never taken; equal rows are permuted by their id, so
-that rows that repeat an id fall into one block; a table without words has targets 0; columns other than id, text and
-source are not read. Reruns agree: hashes and draws depend on SEED and the rows alone.
+Defined results: a text without words (or null) has size 0 and is never taken; rows without id are permuted by their texts;
+rows that repeat id and text are separate documents, next to each other in the permutation; a table without words has
+targets 0; columns other than id, text and source are not read. Reruns agree: hashes and draws depend on SEED and the
+rows alone.
 """
 
 from __future__ import annotations
@@ -21,21 +23,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citemill.llm.common import read_table, word_count, written
+from citemill.llm.common import SPACE, read_table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 OUTPUT_SHARDS = 16
-#: Blocks in all targets together: the unit of quotas is total words / BLOCKS. Fixed, so the tree's work is too.
+#: Blocks in all targets together, about: a block has total words / BLOCKS, but a source has SOURCE_BLOCKS at least. So the
+#: tree's work is the same for tables of all sizes.
 BLOCKS = 1 << 16
+SOURCE_BLOCKS = 1 << 10
 #: Documents of a source whose prefix sums one task forms at a time, about.
 RANGE_ROWS = 2000
+#: Rows of a drawn shard that one task sorts, about.
+LOT_ROWS = 20_000
+#: A row's key is hot when more than RANGE_ROWS and 1/HOT_PARTS of all rows have it; so there are HOT_PARTS hot keys at most.
+HOT_PARTS = 1000
+#: Ranges that the rows of a hot key are dealt to.
+SALTS = 256
 SEED = 7
 
 
-def permutation_key(id_col: Column) -> Column:
+def permutation_key(id_col: Column, text_col: Column) -> Column:
     """32 hexadecimal digits that order documents at random."""
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(id_col.cast("string"), F.lit("")), F.xxhash64(text_col)).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -58,10 +68,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     # The first source that isn't full sets the level of all after it.
     common = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(everything)
     target = F.least(F.col("limit"), F.coalesce(common, F.lit(0.0)) * F.col("weight"))
-    words = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCKS)).cast("long")
     wanted = F.least(F.greatest(F.lit(1), F.round("target").cast("long")), F.col("source_size") * max_repeats)
+    words = F.greatest(F.lit(1), F.least(F.ceil(F.col("total") / BLOCKS), F.floor(F.col("words") / SOURCE_BLOCKS))).cast("long")
     quota = F.ceil(F.col("words") / F.col("block_words")).cast("int")
-    out = level.withColumn("target", target).withColumn("block_words", words).withColumn("words", wanted).withColumn("quota", quota)
+    out = level.withColumn("target", target).withColumn("words", wanted).withColumn("block_words", words).withColumn("quota", quota)
     return out.select("source", "source_size", "target", "words", "block_words", "quota")
 
 
@@ -109,17 +119,36 @@ def _source_key(source: Column) -> Column:
 OWN = "_mix_"
 
 
-def _marked(docs: DataFrame, digits: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with size, source, key and range (the first digits of the key), under own names."""
-    keyed = docs.withColumns({f"{OWN}size": word_count(F.col(text_col)), f"{OWN}source": _source_key(F.col(source_col)), f"{OWN}key": permutation_key(F.col(id_col))})
-    return keyed.withColumn(f"{OWN}range", F.substring(f"{OWN}key", 1, digits))
+def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with size, source, key and range (a stretch of the source's permutation), under own names."""
+    digits = max(1, min(6, (max(1, docs.count() // RANGE_ROWS)).bit_length() // 4 + 1))
+    marked = docs.withColumns({f"{OWN}size": word_count(F.col(text_col)), f"{OWN}source": _source_key(F.col(source_col)), f"{OWN}key": permutation_key(F.col(id_col), F.col(text_col))})
+    return marked.withColumn(f"{OWN}range", F.substring(f"{OWN}key", 1, digits))
+
+
+def _counted(marked: DataFrame) -> DataFrame:
+    """source, range, words and rows: the ranges of each source."""
+    short = marked.select(*[F.col(f"{OWN}{c}").alias(c) for c in ("source", "range", "size")])
+    return written(short.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "ranges")
+
+
+def _spread(marked: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """marked and its ranges, with the rows of hot keys, which are all alike, dealt to ranges of their own behind the one
+    that they were in. These rows are written, so that the numbers by which they are dealt stay."""
+    most, total = ranges.agg(F.max("rows"), F.sum("rows")).first()
+    if (most or 0) <= 4 * RANGE_ROWS:
+        return marked, ranges
+    keys = marked.groupBy(f"{OWN}key").agg(F.count("*").alias(f"{OWN}rows")).filter(F.col(f"{OWN}rows") > max(RANGE_ROWS, total // HOT_PARTS)).select(f"{OWN}key")
+    keys = F.broadcast(written(keys, "hot-keys"))
+    salt = F.lpad(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("string"), 3, "0")
+    hot = marked.join(keys, f"{OWN}key").withColumn(f"{OWN}range", F.concat_ws("~", f"{OWN}range", f"{OWN}key", salt)).select(*marked.columns)
+    spread = marked.join(keys, f"{OWN}key", "left_anti").select(*marked.columns).unionByName(written(hot, "hot-rows"))
+    return spread, _counted(spread)
 
 
-def _plan(marked: DataFrame, shards: int, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, DataFrame]:
+def _plan(ranges: DataFrame, shards: int, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, DataFrame]:
     """The sources (source, source_size, target, words, block_words, quota, starts), and the words before each range, all
     columns under own names. The list of sources has the size of a configuration: one row for each."""
-    short = marked.select(*[F.col(f"{OWN}{c}").alias(c) for c in ("source", "range", "size")])
-    ranges = written(short.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
     names = F.when(F.col("source") == "", F.lit(None)).otherwise(F.substring("source", 2, 1 << 30))
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size")).withColumn("source", names)
     quotas = written(targets(sizes, weights, max_repeats).coalesce(1), "quotas")
@@ -133,34 +162,49 @@ def _plan(marked: DataFrame, shards: int, weights: tuple[int, ...], max_repeats:
 
 def mix(docs: DataFrame, shards: int = OUTPUT_SHARDS, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, with all columns, and _mix_size, _mix_source_size, _mix_target, _mix_times (0 to max_repeats
-    copies taken) and _mix_shards (the output shard of each copy)."""
+    copies taken), _mix_shards (the output shard of each copy) and _mix_words (the words taken of each copy)."""
     own = lambda c: F.col(f"{OWN}{c}")
-    small = docs.select(*{id_col, text_col, source_col})
-    digits = max(1, min(6, (max(1, docs.count() // RANGE_ROWS)).bit_length() // 4 + 1))
-    sources, prefix = _plan(_marked(small, digits, id_col, text_col, source_col), shards, weights, max_repeats)
+    rows = _marked(docs, id_col, text_col, source_col)
+    rows, ranges = _spread(rows, _counted(rows))
+    sources, prefix = _plan(ranges, shards, weights, max_repeats)
     inside = Window.partitionBy(f"{OWN}source", f"{OWN}range").orderBy(f"{OWN}key", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = _marked(docs, digits, id_col, text_col, source_col).withColumn(f"{OWN}inside", F.coalesce(F.sum(f"{OWN}size").over(inside), F.lit(0)))
+    rows = rows.withColumn(f"{OWN}inside", F.coalesce(F.sum(f"{OWN}size").over(inside), F.lit(0)))
     rows = rows.join(prefix, [f"{OWN}source", f"{OWN}range"]).join(sources, f"{OWN}source")
     # Copy c of a document begins c * source_size words after its first; it is taken if that is before the target's end.
     rows = rows.withColumn(f"{OWN}place", own("before") + own("inside"))
-    times = F.ceil(F.try_divide(own("words") - own("place"), own("source_size"))).cast("int")
+    times = F.when(own("size") > 0, F.ceil(F.try_divide(own("words") - own("place"), own("source_size"))).cast("int"))
     rows = rows.withColumn(f"{OWN}times", F.greatest(F.lit(0), F.coalesce(times, F.lit(0))))
     numbers = F.when(own("times") > 0, F.sequence(F.lit(0), own("times") - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda c: F.floor((own("place") + c * own("source_size")) / own("block_words"))
-    shard_of = F.transform(numbers, lambda c: F.size(F.filter(own("starts"), lambda s: s <= block(c))) - 1)
-    return rows.withColumn(f"{OWN}shards", shard_of).select(*docs.columns, *[f"{OWN}{c}" for c in ("size", "source_size", "target", "times", "shards")])
+    begin = lambda c: own("place") + c * own("source_size")
+    shard_of = F.transform(numbers, lambda c: F.size(F.filter(own("starts"), lambda s: s <= F.floor(begin(c) / own("block_words")))) - 1)
+    words = F.transform(numbers, lambda c: F.least(own("size"), own("words") - begin(c)))
+    rows = rows.withColumns({f"{OWN}shards": shard_of, f"{OWN}taken": words}).drop(f"{OWN}words").withColumnRenamed(f"{OWN}taken", f"{OWN}words")
+    return rows.select(*docs.columns, *[f"{OWN}{c}" for c in ("size", "source_size", "target", "times", "shards", "words")])
+
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text with the white space between them."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
-def drawn(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, with the columns of docs, and _mix_shard and
-    _mix_position, the key by which a shard's copies are shuffled."""
-    copies = mix(docs, **options).select("*", F.posexplode(f"{OWN}shards").alias(f"{OWN}copy", f"{OWN}shard"))
-    position = F.xxhash64(F.lit(SEED), f"{OWN}shard", f"{OWN}copy", *[c for c in ("doc_id",) if c in docs.columns])
-    return copies.withColumn(f"{OWN}position", position).select(*docs.columns, f"{OWN}shard", f"{OWN}position")
+
+def drawn(docs: DataFrame, shards: int = OUTPUT_SHARDS, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The mixed corpus: each document as often as it is taken, with the columns of docs and _mix_shard, by shards and
+    within a shard in random order. Of a source's last document the text holds just the words that are taken."""
+    own = lambda c: F.col(f"{OWN}{c}")
+    rows = mix(docs, shards, id_col=id_col, text_col=text_col, **options)
+    copies = rows.select("*", F.posexplode(F.arrays_zip(F.col(f"{OWN}shards").alias("shard"), F.col(f"{OWN}words").alias("words"))).alias(f"{OWN}copy", f"{OWN}of"))
+    cut = F.when(own("of")["words"] < own("size"), first_words(F.col(text_col), own("of")["words"])).otherwise(F.col(text_col))
+    copies = copies.withColumns({f"{OWN}shard": own("of")["shard"], f"{OWN}position": F.xxhash64(F.lit(SEED), own("of")["shard"], own("copy"), id_col, text_col), text_col: cut})
+    # A lot is a stretch of a shard's positions, so lots sorted one by one are the shard in its order.
+    lots = max(1, -(-docs.count() // (shards * LOT_ROWS)))
+    lot = F.floor((F.shiftright(own("position"), 32) + (1 << 31)) * lots / float(1 << 32)).cast("int")
+    dealt = copies.withColumn(f"{OWN}lot", lot).repartition(shards * lots, f"{OWN}shard", f"{OWN}lot")
+    return dealt.sortWithinPartitions(f"{OWN}shard", f"{OWN}position").select(*docs.columns, f"{OWN}shard")
 
 
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mix(docs)
-    taken = (F.col("_mix_size") * F.col("_mix_times")).cast("long")
+    taken = F.aggregate("_mix_words", F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.col("_mix_times").alias("times"), F.array_join("_mix_shards", ",").alias("shards"))

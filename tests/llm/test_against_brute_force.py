@@ -198,11 +198,10 @@ def test_op9(run, documents):
         source = documents[r["doc_id"]].source
         assert r["size"] == sizes[r["doc_id"]] and r["source_size"] == by_source[source]
         assert r["target"] == pytest.approx(target[source])
-        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["times"] * r["size"]
+        assert max(0, r["times"] - 1) * r["size"] <= r["taken"] <= r["times"] * r["size"] <= 3 * r["size"]
         assert len([s for s in r["shards"].split(",") if s]) == r["times"]
         taken[source] += r["taken"]
-    largest = max(sizes.values())
-    assert all(abs(taken[s] - target[s]) <= largest for s in names)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
 
 
 def test_op10(spark, sf_dir, run):

@@ -69,16 +69,19 @@ def test_one_of_each_component_stays(stages):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in ids})
 
 
-def test_mix_repeats_whole_documents(stages):
+def test_mix_takes_its_targets(stages):
+    """Whole documents, but for the last of each source, of which the first words are taken."""
     given, drawn = ({r.doc_id: r for r in stages["mixing"][0].collect()}, stages["mixing"][1].collect())
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in given.items()}
     times = Counter(r.doc_id for r in drawn)
     assert set(times) <= set(given) and max(times.values()) <= 3
-    assert all(r == given[r.doc_id] for r in drawn)
+    cut = [r for r in drawn if r != given[r.doc_id]]
+    assert all(given[r.doc_id].text.lstrip().startswith(r.text) for r in cut) and len({r.source for r in cut}) == len(cut)
     sizes, taken = Counter(), Counter()
     for i, r in given.items():
         sizes[r.source] += words[i]
-        taken[r.source] += words[i] * times[i]
+    for r in drawn:
+        taken[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     names = sorted(sizes, key=str.encode)
     weights = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}
     free, left, target = set(names), float(sum(sizes.values())), {}
@@ -90,7 +93,7 @@ def test_mix_repeats_whole_documents(stages):
         free -= full
         if not full:
             break
-    assert all(abs(taken[s] - target[s]) <= max(words.values()) for s in names)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
 
 
 def test_every_copy_is_packed(stages):
