@@ -59,6 +59,11 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     return near.unionByName(far)
 
 
+def bounded(table: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table, marked for broadcast if it has at most that many rows; a larger one is joined as Spark plans it."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than white space; no text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

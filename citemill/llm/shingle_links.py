@@ -1,12 +1,17 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of five-word shingles.
+"""Near-duplicates by five-word shingles: SimHash links, completed to all pairs of Jaccard similarity 0.8 or more.
 
-Two sets of similarity 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of each, n tokens in all, in
-whatever order all sets are sorted (prefix filter); so the pairs that meet at a token of their prefixes hold every
-near pair, and the shingles of both decide. Tokens that a sample finds often come last in the order: that
-saves candidates and changes no result.
+Each text is a set of shingles with a SimHash fingerprint. First come the links of fingerprints within two bits, from the
+segment-popcount grid of simhash_dedup, so large groups of close copies become components in linear work. But texts of
+similarity 0.8 differ in some 10 of 64 bits on average, and at that distance a grid of bit counts holds most pairs of a
+corpus. So the rest comes from a prefix filter: two sets of similarity 0.8 or more share a token among the first
+n - ceil(0.8 n) + 1 of each, n tokens in all, in whatever order all sets are sorted; the pairs that meet at a token of
+their prefixes hold every near pair. Of these, pairs whose fingerprints differ in more than FAR_BITS are left out (texts
+of similarity 0.8 do so less than once in a million), and the shingles of both decide in every case.
+Tokens that a sample finds often come last in the order: that saves candidates and changes no result.
 
 Pairs at a token grow with the square of its sets. So a few rounds compare each set only with one pivot of each of
 its tokens, and the last one compares all pairs that are not yet in one component: no link between components is lost.
+Shingles of a text are read only once a pair asks for them.
 
 Defined results: words are lower-cased (A-Z) and split at ASCII white space; texts of fewer words are one shingle; null
 counts as empty, and texts without words are equal; an empty table gives an empty table.
@@ -23,14 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citemill.llm.common import attach, discard, text_or_empty, written
-from citemill.llm.simhash_dedup import SEED, components, row_key
+from citemill.llm.common import attach, bounded, discard, text_or_empty, written
+from citemill.llm.simhash_dedup import SEED, components, keep_rows, majority, near_links, row_key
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
 NEAR, NEAR_OF = 4, 5
-#: Documents in the sample that orders tokens, about; tokens in fewer of them than FREQUENT keep the order of their hashes.
-SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 3, 200_000
+#: Fingerprints of near sets differ in no more bits: at similarity 0.8 a bit differs with a chance of 0.151, so 24 of 64
+#: are five deviations above the mean.
+FAR_BITS = 24
+#: The sample that orders tokens is one in SAMPLE_EVERY documents, but LEAST_SAMPLE at least; tokens in fewer of them than
+#: FREQUENT, or beyond the MOST_FREQUENT, keep the order of their hashes.
+SAMPLE_EVERY, LEAST_SAMPLE, FREQUENT, MOST_FREQUENT = 200, 5_000, 3, 200_000
 PIVOT_ROUNDS = 3
 
 
@@ -52,16 +61,8 @@ def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
 
 
-def set_ids(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row_key, set_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array([_set_id(shingles(t.as_py())) for t in batch.column(2)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "row_key", "set_id"])
-
-    rows = _keyed(docs)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, set_id long")
+def _listed(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), type=pa.int32()), pa.array(np.concatenate(sets), type=pa.int64()))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -69,51 +70,56 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                sets = [shingles(t.as_py()) for t in batch.column(0).slice(at, 1000)]
-                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), type=pa.int32()), pa.array(np.concatenate(sets), type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], type=pa.int64()), listed], names=["set_id", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingles(t.as_py()) for t in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], type=pa.int64()), _listed(sets)], names=["set_id", "shingles"])
 
     return docs.select("text").mapInArrow(run, "set_id long, shingles array<long>")
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """(token, set_id, n, pos): the tokens of each document's prefix, with their places in the common order."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a sample that are in FREQUENT or more of its documents, ascending, and in how many."""
     keyed = _keyed(docs)
-    every = max(1, docs.count() // SAMPLE)
+    every = min(SAMPLE_EVERY, max(1, docs.count() // LEAST_SAMPLE))
     sample = _sets(keyed.filter(F.pmod("row_key", F.lit(every)) == 0)).select(F.explode("shingles").alias("token"))
-    often = sample.groupBy("token").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
-    often = sorted((r.token, r["count"]) for r in often)
-    known = np.array([t for t, _ in often], dtype=np.int64)
-    counts = np.array([c for _, c in often], dtype=np.int64)
+    often = sample.groupBy("token").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+    tokens, counts = (often[c].to_numpy().astype(np.int64) for c in ("token", "count"))
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, row_key, set_id, fp (its SimHash), n (its shingles) and prefix, the first tokens of the
+    set in the common order."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))  # MOST_FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                parts: list[tuple[np.ndarray, int, int]] = []
-                for text in batch.column(0).slice(at, 500):
+                part = batch.slice(at, 500)
+                rows, prefixes = [], []
+                for text in part.column(2):
                     tokens = shingles(text.as_py())
                     n = len(tokens)
                     rank = np.zeros(n, dtype=np.int64)
                     if len(known):
                         near = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                         rank = np.where(known[near] == tokens, counts[near], 0)
-                    parts.append((tokens[np.lexsort((tokens, rank))][: n - -(-NEAR * n // NEAR_OF) + 1], _set_id(tokens), n))
-                long = [len(x) for x, _, _ in parts]
-                columns = [
-                    np.concatenate([x for x, _, _ in parts]),
-                    np.repeat(np.array([i for _, i, _ in parts], dtype=np.int64), long),
-                    np.repeat(np.array([n for _, _, n in parts], dtype=np.int32), long),
-                    np.concatenate([np.arange(n, dtype=np.int32) for n in long]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "set_id", "n", "pos"])
+                    prefixes.append(tokens[np.lexsort((tokens, rank))][: n - -(-NEAR * n // NEAR_OF) + 1])
+                    rows.append((_set_id(tokens), majority(tokens.view("<u8")), n))
+                ids, prints, sizes = zip(*rows)
+                columns = [pa.array(ids, type=pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int32()), _listed(prefixes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "row_key", "set_id", "fp", "n", "prefix"])
 
-    return keyed.select("text").mapInArrow(run, "token long, set_id long, n int, pos int")
+    keyed = _keyed(docs)
+    return keyed.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, row_key long, set_id long, fp long, n int, prefix array<long>")
 
 
 def _can_be_near(a: str, b: str) -> Column:
-    """Whether sets that share a token at these places can have enough tokens in common."""
-    return F.expr(f"{NEAR + NEAR_OF} * (least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1) >= {NEAR} * ({a}.n + {b}.n)")
+    """Whether sets that share a token at these places, with these fingerprints, can have enough tokens in common."""
+    room = F.expr(f"{NEAR + NEAR_OF} * (least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1) >= {NEAR} * ({a}.n + {b}.n)")
+    return room & F.expr(f"bit_count({a}.fp ^ {b}.fp) <= {FAR_BITS}")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -122,55 +128,88 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.filter("x.set_id <> y.set_id").filter(_can_be_near("x", "y")).select(low, high).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, lowest: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are near. Only the documents in pairs are read for their shingles."""
-    rows = pairs = written(pairs, "near-pairs")
-    total = rows.count()
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    needed = written(lowest.join(ids, "set_id", "left_semi").select("low.row_key"), "near-needed")
-    sets = written(_sets(_keyed(docs).join(needed, "row_key", "left_semi")).dropDuplicates(["set_id"]), "near-sets")
+def _close_prints(lowest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets: those that share a fingerprint, as stars, and one for each link of fingerprints within two bits."""
+    prints = written(lowest.groupBy("fp").agg(F.min("set_id").alias("set_id"), F.count("*").alias("sets")), "near-prints")
+    same = lowest.join(prints.filter("sets > 1").select("fp", F.col("set_id").alias("first")), "fp").filter("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    links = near_links(prints.select("fp"))
     for side in ("a", "b"):
-        counts = pairs.groupBy(side).agg(F.count("*").alias(f"rows_{side}"))
-        table = counts.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-        rows = attach(rows, table, side, f"rows_{side}", total)
-    near = rows.filter(F.expr(f"{NEAR + NEAR_OF} * size(array_intersect(set_a, set_b)) >= {NEAR} * (size(set_a) + size(set_b))"))
-    links = written(near.select("a", "b"), "near-links")
-    for table in (pairs, needed, sets):
-        discard(table)
-    return links
-
-
-def near_components(docs: DataFrame, lowest: DataFrame) -> DataFrame:
+        links = links.join(prints.select(F.col("fp").alias(side), F.col("set_id").alias(f"set_{side}")), side)
+    return links.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).unionByName(same).distinct()
+
+
+class Verifier:
+    """Decides pairs by the shingles of both sets, and remembers the shingles that it has read."""
+
+    def __init__(self, docs: DataFrame, lowest: DataFrame):
+        self.docs, self.lowest, self.sets = docs, lowest, []
+
+    def known(self) -> DataFrame | None:
+        found = None
+        for table in self.sets:
+            found = table if found is None else found.unionByName(table)
+        return found
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are near."""
+        rows = pairs = written(pairs, "near-pairs")
+        total = rows.count()
+        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        known = self.known()
+        if known is not None:
+            ids = ids.join(known.select("set_id"), "set_id", "left_anti")
+        needed = written(self.lowest.join(ids, "set_id", "left_semi").select("low.row_key").distinct(), "near-needed")
+        texts = _keyed(self.docs).join(bounded(needed), "row_key", "left_semi")
+        self.sets.append(written(_sets(texts).dropDuplicates(["set_id"]), "near-sets"))
+        sets = self.known()
+        for side in ("a", "b"):
+            counts = pairs.groupBy(side).agg(F.count("*").alias(f"rows_{side}"))
+            table = counts.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+            rows = attach(rows, table, side, f"rows_{side}", total)
+        near = rows.filter(F.expr(f"{NEAR + NEAR_OF} * size(array_intersect(set_a, set_b)) >= {NEAR} * (size(set_a) + size(set_b))"))
+        links = written(near.select("a", "b"), "near-links")
+        for table in (pairs, needed):
+            discard(table)
+        return links
+
+    def close(self) -> None:
+        for table in self.sets:
+            discard(table)
+
+
+def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame) -> DataFrame:
     """(node, root) for the sets that are linked to others: root is the smallest set_id of the component.
 
-    lowest has one row for each set: set_id, and low with the row_key of a document that has it."""
-    tokens = written(_prefixes(docs), "near-tokens")
-    shared = written(tokens.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "near-shared")
-    members = written(tokens.join(shared.select("token"), "token", "left_semi").distinct().select("token", F.struct("set_id", "n", "pos").alias("x")), "near-members")
-    discard(tokens)
-    links, roots = None, None
+    rows: profiles() of docs; lowest: one row for each set, with fp and, in low, the row_key of a document that has it."""
+    token = rows.select("set_id", "n", "fp", F.posexplode("prefix").alias("pos", "token"))
+    shared = written(token.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token"), "near-shared")
+    x = F.struct("set_id", "n", "fp", "pos").alias("x")
+    members = written(token.join(shared, "token", "left_semi").select("token", x).distinct(), "near-members")
+    total = members.count()
+    verify = Verifier(docs, lowest)
+    links = verify.near(_close_prints(lowest))
     for number in range(PIVOT_ROUNDS + 1):
-        left = members.withColumn("root", F.col("x.set_id"))
-        if roots is not None:
-            # Only tokens at which several components meet matter now.
-            named = members.select("*", F.col("x.set_id").alias("node"))
-            sized = roots.join(named.groupBy("node").agg(F.count("*").alias("rows")), "node")
-            left = attach(named, sized, "node", "rows", members.count()).withColumn("root", F.coalesce("root", "node"))
-            left = written(left.select("token", "x", "root"), "near-left")
-            open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("token", "size")
-            left = written(attach(left, written(open_, "near-open"), "token", "size", left.count()).filter("size is not null").drop("size"), "near-left")
+        roots = components(links)
+        # Only tokens at which several components meet matter.
+        named = members.select("*", F.col("x.set_id").alias("node"))
+        sized = roots.join(named.groupBy("node").agg(F.count("*").alias("rows")), "node")
+        left = attach(named, sized, "node", "rows", total).withColumn("root", F.coalesce("root", "node"))
+        left = written(left.select("token", "x", "root"), "near-left")
+        open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("token", "size")
+        older, left = left, written(attach(left, written(open_, "near-open"), "token", "size", total).filter("size is not null").drop("size"), "near-left")
+        discard(older)
         if left.isEmpty():
             break
         if number < PIVOT_ROUNDS:
             pivots = left.groupBy("token").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x.set_id", F.lit(number))).alias("pivot"), F.count("*").alias("size"))
-            met = attach(left, written(pivots, "near-pivots"), "token", "size", left.count()).filter("root <> pivot.root").select("x", F.col("pivot.x").alias("y"))
+            met = attach(left, written(pivots, "near-pivots"), "token", "size", total).filter("root <> pivot.root").select("x", F.col("pivot.x").alias("y"))
         else:
             other = left.select("token", F.col("x").alias("y"), F.col("root").alias("other"))
             met = left.join(other, "token").filter("x.set_id < y.set_id and root <> other").select("x", "y")
-        found = _verified(_pairs(met), docs, lowest)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    return roots if roots is not None else lowest.select(F.col("set_id").alias("node"), F.col("set_id").alias("root")).limit(0)
+        links = links.unionByName(verify.near(_pairs(met)))
+        discard(left)
+    verify.close()
+    return components(links)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -179,11 +218,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows with the same doc_id and text as the one that stays count as one. Rows without doc_id yield to others;
     among themselves the smallest hash stays.
     """
-    rows = written(set_ids(docs), "near-rows")
+    rows = written(profiles(docs), "near-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    lowest = written(rows.groupBy("set_id").agg(F.min(first).alias("low")), "near-lowest")
-    roots = near_components(docs, lowest)
+    lowest = written(rows.groupBy("set_id").agg(F.min(first).alias("low"), F.min("fp").alias("fp")), "near-lowest")
+    roots = near_components(docs, rows, lowest)
     rooted = lowest.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    key = "_citemill_row"
-    kept = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("low").alias("low")).select(F.col("low.row_key").alias(key)).distinct()
-    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key, "doc_id"]).drop(key)
+    kept = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("low").alias("low")).select("low.doc_id", "low.row_key").distinct()
+    return keep_rows(docs, rows, kept)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm.common import attach, discard, read_table, text_or_empty, written
+from citemill.llm.common import attach, bounded, discard, read_table, text_or_empty, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -46,7 +46,11 @@ def simhash(text: str, words: int = SHINGLE_WORDS) -> int:
     else:
         shingles = map(b" ".join, zip(*(parts[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that more than half of the unsigned 64-bit hashes have."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         block = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)
@@ -56,10 +60,28 @@ def simhash(text: str, words: int = SHINGLE_WORDS) -> int:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A hash that rows share only if they repeat id and text."""
+    """A hash that, together with the id, rows share only if they repeat id and text."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, row_key) names, each once, with the columns of docs.
+
+    rows has doc_id and row_key of every row of docs. Only rows that repeat both move to be counted once.
+    """
+    key, key_id = "_citemill_row", "_citemill_id"
+    names = bounded(written(kept.select(F.col("doc_id").alias(key_id), F.col("row_key").alias(f"{key}_kept")), "kept"))
+    marked = docs.withColumn(key, row_key())
+    same = (F.col(key) == F.col(f"{key}_kept")) & F.col("doc_id").eqNullSafe(F.col(key_id))
+    repeated = written(rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row_key").alias(key)).distinct(), "repeated")
+    if repeated.isEmpty():
+        return marked.join(names, same, "left_semi").drop(key)
+    stays = marked.join(names, same, "left_semi")
+    once = stays.join(bounded(repeated), key, "left_anti")
+    several = stays.join(bounded(repeated), key, "left_semi").dropDuplicates([key, "doc_id"])
+    return once.unionByName(several).drop(key)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: its id as doc_id, row_key, and fp, the fingerprint as a signed long."""
 
@@ -181,9 +203,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows with the same doc_id and text as the one that stays count as one. Rows without doc_id yield to others;
     among themselves the smallest hash stays.
     """
-    key = "_citemill_row"
-    kept = link_documents(docs).filter("stays").select(F.col("row_key").alias(key)).distinct()
-    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key, "doc_id"]).drop(key)
+    linked = written(link_documents(docs), "linked-rows")
+    return keep_rows(docs, linked, linked.filter("stays").select("doc_id", "row_key").distinct())
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

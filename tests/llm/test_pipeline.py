@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from citemill.llm import queries
-from citemill.llm.simhash_dedup import simhash
+from tests.llm.test_shingle_links import kept_by_all_pairs
 
 
 @pytest.fixture(scope="module")
@@ -52,21 +52,7 @@ def test_one_of_each_text_stays(stages):
 
 def test_one_of_each_component_stays(stages):
     given, kept = stages["near_dedup"]
-    prints = {r.doc_id: simhash(r.text) for r in given.collect()}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(prints)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in ids})
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_all_pairs({r.doc_id: r.text for r in given.collect()})
 
 
 def test_mix_takes_its_targets(stages):
