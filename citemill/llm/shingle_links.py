@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.llm.common import attach, bounded, discard, text_or_empty, written
-from citemill.llm.simhash_dedup import SEED, components, keep_rows, majority, near_links, row_key
+from citemill.llm.simhash_dedup import SEED, components, keep_rows, majority, near_links, repeated_rows, row_key
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -40,7 +40,7 @@ FAR_BITS = 24
 #: The sample that orders tokens is one in SAMPLE_EVERY documents, but LEAST_SAMPLE at least; tokens in fewer of them than
 #: FREQUENT, or beyond the MOST_FREQUENT, keep the order of their hashes.
 SAMPLE_EVERY, LEAST_SAMPLE, FREQUENT, MOST_FREQUENT = 200, 5_000, 3, 200_000
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -139,10 +139,11 @@ def _close_prints(lowest: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Decides pairs by the shingles of both sets, and remembers the shingles that it has read."""
+    """Decides pairs by the shingles of both sets, and remembers the shingles that it has read. repeats: whether rows may
+    repeat, so that a set is read several times."""
 
-    def __init__(self, docs: DataFrame, lowest: DataFrame):
-        self.docs, self.lowest, self.sets = docs, lowest, []
+    def __init__(self, docs: DataFrame, lowest: DataFrame, repeats: bool):
+        self.docs, self.lowest, self.repeats, self.sets = docs, lowest, repeats, []
 
     def known(self) -> DataFrame | None:
         found = None
@@ -152,20 +153,19 @@ class Verifier:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are near."""
-        rows = pairs = written(pairs, "near-pairs")
-        total = rows.count()
+        pairs = written(pairs, "near-pairs")
         ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
         known = self.known()
         if known is not None:
             ids = ids.join(known.select("set_id"), "set_id", "left_anti")
-        needed = written(self.lowest.join(ids, "set_id", "left_semi").select("low.row_key").distinct(), "near-needed")
-        texts = _keyed(self.docs).join(bounded(needed), "row_key", "left_semi")
-        self.sets.append(written(_sets(texts).dropDuplicates(["set_id"]), "near-sets"))
+        needed = written(self.lowest.join(ids, "set_id", "left_semi").select("low.row_key"), "near-needed")
+        read = _sets(_keyed(self.docs).join(bounded(needed), "row_key", "left_semi"))
+        self.sets.append(written(read.dropDuplicates(["set_id"]) if self.repeats else read, "near-sets"))
         sets = self.known()
+        # A set in many pairs is a skewed key of pairs alone; adaptive execution splits such a side.
+        rows = pairs
         for side in ("a", "b"):
-            counts = pairs.groupBy(side).agg(F.count("*").alias(f"rows_{side}"))
-            table = counts.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-            rows = attach(rows, table, side, f"rows_{side}", total)
+            rows = rows.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         near = rows.filter(F.expr(f"{NEAR + NEAR_OF} * size(array_intersect(set_a, set_b)) >= {NEAR} * (size(set_a) + size(set_b))"))
         links = written(near.select("a", "b"), "near-links")
         for table in (pairs, needed):
@@ -177,35 +177,34 @@ class Verifier:
             discard(table)
 
 
-def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame, shared_sets: bool = True, repeats: bool = True) -> DataFrame:
     """(node, root) for the sets that are linked to others: root is the smallest set_id of the component.
 
-    rows: profiles() of docs; lowest: one row for each set, with fp and, in low, the row_key of a document that has it."""
+    rows: profiles() of docs; lowest: one row for each set, with fp and, in low, the row_key of a document that has it.
+    shared_sets: whether documents may share a set; repeats: whether rows may repeat id and text."""
     token = rows.select("set_id", "n", "fp", F.posexplode("prefix").alias("pos", "token"))
     shared = written(token.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token"), "near-shared")
-    x = F.struct("set_id", "n", "fp", "pos").alias("x")
-    members = written(token.join(shared, "token", "left_semi").select("token", x).distinct(), "near-members")
+    members = token.join(shared, "token", "left_semi").select("token", F.struct("set_id", "n", "fp", "pos").alias("x"))
+    members = written(members.distinct() if shared_sets else members, "near-members")
     total = members.count()
-    verify = Verifier(docs, lowest)
+    verify = Verifier(docs, lowest, repeats)
     links = verify.near(_close_prints(lowest))
     for number in range(PIVOT_ROUNDS + 1):
         roots = components(links)
+        named = members.select("*", F.col("x.set_id").alias("node")).join(roots, "node", "left")
+        left = written(named.select("token", "x", F.coalesce("root", "node").alias("root")), "near-left")
         # Only tokens at which several components meet matter.
-        named = members.select("*", F.col("x.set_id").alias("node"))
-        sized = roots.join(named.groupBy("node").agg(F.count("*").alias("rows")), "node")
-        left = attach(named, sized, "node", "rows", total).withColumn("root", F.coalesce("root", "node"))
-        left = written(left.select("token", "x", "root"), "near-left")
-        open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("token", "size")
-        older, left = left, written(attach(left, written(open_, "near-open"), "token", "size", total).filter("size is not null").drop("size"), "near-left")
-        discard(older)
-        if left.isEmpty():
+        pivot = F.min_by(F.struct("x", "root"), F.xxhash64("x.set_id", F.lit(number))).alias("pivot")
+        open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), pivot)
+        open_ = written(open_.filter("low <> high").select("token", "size", "pivot"), "near-open")
+        if open_.isEmpty():
             break
+        there = attach(left, open_, "token", "size", total).filter("size is not null")
         if number < PIVOT_ROUNDS:
-            pivots = left.groupBy("token").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x.set_id", F.lit(number))).alias("pivot"), F.count("*").alias("size"))
-            met = attach(left, written(pivots, "near-pivots"), "token", "size", total).filter("root <> pivot.root").select("x", F.col("pivot.x").alias("y"))
+            met = there.filter("root <> pivot.root").select("x", F.col("pivot.x").alias("y"))
         else:
-            other = left.select("token", F.col("x").alias("y"), F.col("root").alias("other"))
-            met = left.join(other, "token").filter("x.set_id < y.set_id and root <> other").select("x", "y")
+            there = written(there.select("token", "x", "root"), "near-there")
+            met = there.join(there.select("token", F.col("x").alias("y"), F.col("root").alias("other")), "token").filter("x.set_id < y.set_id and root <> other").select("x", "y")
         links = links.unionByName(verify.near(_pairs(met)))
         discard(left)
     verify.close()
@@ -221,7 +220,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = written(profiles(docs), "near-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     lowest = written(rows.groupBy("set_id").agg(F.min(first).alias("low"), F.min("fp").alias("fp")), "near-lowest")
-    roots = near_components(docs, rows, lowest)
+    repeated = repeated_rows(rows)
+    roots = near_components(docs, rows, lowest, lowest.count() < rows.count(), not repeated.isEmpty())
     rooted = lowest.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     kept = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("low").alias("low")).select("low.doc_id", "low.row_key").distinct()
-    return keep_rows(docs, rows, kept)
+    return keep_rows(docs, kept, repeated)

@@ -64,22 +64,22 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that kept (doc_id, row_key) names, each once, with the columns of docs.
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """row_key of the rows (doc_id, row_key) that repeat both, written."""
+    return written(rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key").distinct(), "repeated")
 
-    rows has doc_id and row_key of every row of docs. Only rows that repeat both move to be counted once.
-    """
+
+def keep_rows(docs: DataFrame, kept: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, row_key) names, each once, with the columns of docs. Only rows whose row_key is in
+    repeated move to be counted once."""
     key, key_id = "_citemill_row", "_citemill_id"
     names = bounded(written(kept.select(F.col("doc_id").alias(key_id), F.col("row_key").alias(f"{key}_kept")), "kept"))
-    marked = docs.withColumn(key, row_key())
     same = (F.col(key) == F.col(f"{key}_kept")) & F.col("doc_id").eqNullSafe(F.col(key_id))
-    repeated = written(rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row_key").alias(key)).distinct(), "repeated")
+    stays = docs.withColumn(key, row_key()).join(names, same, "left_semi")
     if repeated.isEmpty():
-        return marked.join(names, same, "left_semi").drop(key)
-    stays = marked.join(names, same, "left_semi")
-    once = stays.join(bounded(repeated), key, "left_anti")
-    several = stays.join(bounded(repeated), key, "left_semi").dropDuplicates([key, "doc_id"])
-    return once.unionByName(several).drop(key)
+        return stays.drop(key)
+    again = bounded(repeated.select(F.col("row_key").alias(key)))
+    return stays.join(again, key, "left_anti").unionByName(stays.join(again, key, "left_semi").dropDuplicates([key, "doc_id"])).drop(key)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -204,7 +204,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     among themselves the smallest hash stays.
     """
     linked = written(link_documents(docs), "linked-rows")
-    return keep_rows(docs, linked, linked.filter("stays").select("doc_id", "row_key").distinct())
+    return keep_rows(docs, linked.filter("stays").select("doc_id", "row_key").distinct(), repeated_rows(linked))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
