@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampType
 
-from citemill.llm.common import read_table, text_or_empty, written
+from citemill.llm.common import bounded, read_table, text_or_empty, written
 
 PARAGRAPH_END = r"[\r\n]+|(?<=[.!?]) +"
 WIDE_LANES = 4
@@ -31,10 +32,12 @@ ONE_BITS = 0x0000000100000001
 WORDS, SHIFTS = 2, 32
 PACKED = WORDS * SHIFTS
 LANES = PACKED * 2
-#: Documents that one task takes next to each other at a time.
+#: Documents that one task takes next to each other at a time, about, in MAX_RUNS runs at most (with more documents the runs
+#: grow); a range of ids is cut where it has over RUN_LIMIT times as many. DEPTH: cuts of cuts.
 RUN_ROWS = 1_000
-MAX_RUNS = 1 << 16
-KNOTS = 64
+MAX_RUNS = 1 << 20
+RUN_LIMIT = 4
+DEPTH = 8
 
 
 # The expressions have some 200 terms, so they are written as SQL: one call instead of one for each term.
@@ -91,20 +94,64 @@ def likeness(a: str, b: str, lanes_a: str, lanes_b: str) -> Column:
     return F.expr(f"case when {same} then 1d when {a}.n = 0 or {b}.n = 0 then 0d else coalesce(greatest(0d, least(1d, {cosine})), 0d) end")
 
 
-def _runs(id_col: Column, knots: list[float], runs: int) -> Column:
-    """The number of an id's run: runs are ranges of ids with about equal numbers of rows, by a distribution function
-    that is linear between the knots, its quantiles."""
-    share = 1.0 / (len(knots) - 1)
-
-    def tree(low: int, high: int) -> Column:
-        if high - low == 1:
-            a, b = knots[low], knots[high]
-            part = (id_col - F.lit(a)) / F.lit(b - a) if b > a else F.lit(0.0)
-            return F.lit(low * share) + F.lit(share) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
-        middle = (low + high) // 2
-        return F.when(id_col < F.lit(knots[middle]), tree(low, middle)).otherwise(tree(middle, high))
-
-    return F.coalesce(F.least(F.lit(runs - 1), F.floor(tree(0, len(knots) - 1) * runs).cast("int")), F.lit(runs - 1))
+def _places(rows: DataFrame) -> list[Column]:
+    """Numbers whose order, one after the other, is that of rows (doc_id, text): of the id, or of six bytes of it at a time,
+    and of the text's hash."""
+    kind = rows.schema["doc_id"].dataType
+    if isinstance(kind, StringType):
+        part = lambda n: F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("binary"), 6 * n + 1, 6)), 12, "0"), 16, 10).cast("double")
+        ids = [part(n) for n in range(4)]
+    elif isinstance(kind, (NumericType, BooleanType)):
+        ids = [F.col("doc_id").cast("double")]
+    elif isinstance(kind, (DateType, TimestampType)):
+        ids = [F.col("doc_id").cast("timestamp").cast("double")]
+    else:
+        raise TypeError(f"ids of type {kind.simpleString()} have no order of runs")
+    return [*ids, F.xxhash64("text").cast("double")]
+
+
+def with_runs(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with run: ranges of the order by id, then by the text's hash, of about RUN_ROWS rows.
+
+    The range of ids is cut into equal parts, whose rows are counted exactly. Parts with too many rows are cut again, by
+    the id or, where it is one id, by the next number of _places; and so on. A run is what lies between two multiples
+    of its size in these counts, so it may hold many small parts, and never more than RUN_LIMIT + 1 sizes unless rows are
+    alike. The tables of parts have MAX_RUNS rows at most, for the whole table together, so they are broadcast.
+    """
+    places = _places(rows)
+    low, high, count = rows.agg(F.min(places[0]), F.max(places[0]), F.count("*")).first()
+    size = max(RUN_ROWS, -(-count // MAX_RUNS))
+    # A node is a part: before, the rows ahead of it, names it. Its rows are cut into parts at low + n * width by places[level].
+    top = F.when(places[0].isNull(), F.lit(1)).otherwise(F.lit(0))
+    at = rows.withColumns({"before": F.lit(-1).cast("long"), "level": F.lit(0), "low": F.lit(float(low or 0)), "width": F.lit(max(float(high or 0) - float(low or 0), 0.0)), "parts": F.lit(max(1, -(-count // size)))})
+    for depth in range(DEPTH):
+        place = F.lit(None).cast("double")
+        for n, value in enumerate(places):
+            place = F.when(F.col("level") == n, value).otherwise(place)
+        share = F.when(F.col("width") > 0, (place - F.col("low")) / F.col("width")).otherwise(F.lit(0.0))
+        part = F.least(F.col("parts") - 1, F.greatest(F.lit(0), F.floor(share * F.col("parts")))).cast("int")
+        part = F.when(F.col("level").isNull(), F.lit(None)).when(top == 1, F.col("parts")).otherwise(part) if not depth else F.when(F.col("level").isNotNull(), part)
+        here = at.withColumns({"parent": F.col("before"), "part": part})
+        bounds = [f(v).alias(f"{name}{n}") for n, v in enumerate(places if depth else places[:-1]) for name, f in (("low", F.min), ("high", F.max))]
+        one_id = F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one_id")
+        counts = here.filter("part is not null").groupBy("parent", "part").agg(F.count("*").alias("rows"), one_id, *bounds)
+        order = Window.partitionBy("parent").orderBy("part")
+        counts = counts.withColumn("before", F.greatest("parent", F.lit(0)) + F.sum("rows").over(order) - F.col("rows"))
+        crowded, cut = F.col("rows") > RUN_LIMIT * size, F.lit(None).cast("struct<level:int,low:double,width:double>")
+        for n in reversed(range(len(bounds) // 2)):
+            wide = (F.col(f"high{n}") > F.col(f"low{n}")) & (F.lit(n < len(places) - 1) | F.col("one_id"))
+            cut = F.when(wide, F.struct(F.lit(n).alias("level"), F.col(f"low{n}").alias("low"), (F.col(f"high{n}") - F.col(f"low{n}")).alias("width"))).otherwise(cut)
+        if not depth:  # the text's hash isn't read where ids alone do
+            by_hash = F.struct(F.lit(len(places) - 1).alias("level"), F.lit(-(2.0**63)).alias("low"), F.lit(2.0**64).alias("width"))
+            cut = F.coalesce(cut, F.when(F.col("one_id"), by_hash))
+        nodes = counts.select("parent", "part", "before", F.when(crowded, cut).alias("cut"), F.ceil(F.col("rows") / size).cast("int").alias("parts"))
+        nodes = written(nodes.select("parent", "part", "before", "cut.*", "parts"), "parts")
+        kept = [c for c in at.columns if c not in ("before", "level", "low", "width", "parts")]
+        joined = here.select(*kept, "parent", "part").join(bounded(nodes, 2 * MAX_RUNS), ["parent", "part"], "left")
+        at = joined.select(*kept, F.coalesce("before", "parent").alias("before"), "level", "low", "width", "parts")
+        if nodes.filter("level is not null").isEmpty():
+            break
+    return at.select(*rows.columns, F.floor(F.col("before") / size).cast("int").alias("run"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,20 +160,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Ranges of ids meet in one exchange of the texts; the first row of each range is also sent to the range before.
     """
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    count = rows.count()
-    runs = max(1, min(MAX_RUNS, -(-count // RUN_ROWS)))
-    at = F.col("doc_id").cast("double")
-    knots = rows.select(at.alias("at")).approxQuantile("at", [i / KNOTS for i in range(KNOTS + 1)], 1 / (4 * KNOTS)) or [0.0, 0.0]
-    rows = rows.withColumn("run", _runs(at, knots, runs))
-    firsts = rows.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    rows = with_runs(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"))
+    firsts = rows.groupBy("run").agg(F.min(place).alias("first"))
     order, everything = Window.orderBy("run"), Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("run", "first_id", F.coalesce(F.lag("run").over(order), F.last("run").over(everything)).alias("before"))
-    firsts = written(firsts.coalesce(1), "runs")  # MAX_RUNS rows at most
+    firsts = firsts.select("run", "first", F.coalesce(F.lag("run").over(order), F.last("run").over(everything)).alias("earlier"))
+    firsts = written(firsts.coalesce(1), "runs")  # MAX_RUNS rows and one at most
     beside = rows.join(F.broadcast(firsts), "run")
     own = F.struct("run", F.lit(False).alias("extra"))
-    extra = F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.struct(F.col("before").alias("run"), F.lit(True).alias("extra")))
+    extra = F.when(place.eqNullSafe(F.col("first")), F.struct(F.col("earlier").alias("run"), F.lit(True).alias("extra")))
     dealt = beside.select("doc_id", "text", F.explode(F.array_compact(F.array(own, extra))).alias("place")).select("doc_id", "text", "place.*").repartition("run")
     summed = dealt.withColumn("vector", multiset_sum("text"))
     order = Window.partitionBy("run").orderBy("extra", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
