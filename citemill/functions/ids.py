@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Public forms of arXiv numbers, in URLs and bare, new and old.
+ARXIV_URL = r"arxiv\.org/(?:abs|pdf|html)/(\d+\.\d+)"
+ARXIV_NEW, ARXIV_OLD = r"^\d{4}\.\d{4,5}(v\d+)?$", r"^[a-z-]+/\d+$"
+
+
 def normalize_id(raw: Column) -> Column:
     """arXiv URLs and bare arXiv numbers, old and new, get the prefix ARXIV:; others stay, trimmed."""
     bare = F.trim(raw)
-    linked = F.regexp_extract(bare, r"arxiv\.org/(?:abs|pdf|html)/(\d+\.\d+)", 1)
-    number = F.rlike(bare, F.lit(r"^\d{4}\.\d{4,5}(v\d+)?$")) | F.rlike(bare, F.lit(r"^[a-z-]+/\d+$"))
+    linked = F.regexp_extract(bare, ARXIV_URL, 1)
+    number = F.rlike(bare, F.lit(ARXIV_NEW)) | F.rlike(bare, F.lit(ARXIV_OLD))
     return F.when(linked != "", F.concat(F.lit("ARXIV:"), linked)).when(number, F.concat(F.lit("ARXIV:"), bare)).otherwise(bare)
 
 

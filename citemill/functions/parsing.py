@@ -10,55 +10,87 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-_TRAILING_COMMA = re.compile(r",(?=\s*[}\]])")
-_NEXT_KEY = re.compile(r'(?<=["\d\]}\w])(\s*\n)(?=\s*"(?:[^"\\]|\\.)*"\s*:)')
-_NEXT_ITEM = re.compile(r'(?<=["\d\]}])(\s*\n)(?=\s*")')
+#: What may stand where a value begins, besides strings and brackets: numbers and words such as true.
+_SCALAR = re.compile(r"[^\s\[\]{},:\"]+")
+#: Fixed value: how an error of parse_output begins.
+ERROR = "JSON parse error"
+
+
+def json_text(text: str, mend_commas: bool = True, close: bool = True) -> str:
+    """The first JSON value in a text, read token by token: what is around it (prose, code fences) is left out, a comma
+    before a closing bracket is dropped, one that is missing between two values is put in, and brackets that are open at
+    the end are closed. Strings pass unchanged. Without brackets, the text itself.
+
+    mend_commas and close say whether missing commas and brackets are mended; what isn't mended is passed on as it stands.
+    """
+    starts = [n for n in (text.find("{"), text.find("[")) if n >= 0]
+    if not starts:
+        return text.strip()
+    at, out, open_, value, comma = min(starts), [], [], False, False
+    while at < len(text):
+        c = text[at]
+        if c.isspace():
+            at += 1
+            continue
+        if c in "]}":
+            out.append(c)
+            at += 1
+            comma, value = False, True
+            if open_:
+                open_.pop()
+            if not open_:
+                break
+            continue
+        if c == ",":
+            if comma and not mend_commas:
+                out.append(",")
+            comma, value, at = True, False, at + 1
+            continue
+        if c == ":":
+            out.append(c)
+            value, at = False, at + 1
+            continue
+        if text.startswith("```", at):
+            break
+        # A value or key begins here: first the comma before it.
+        if comma or (value and mend_commas and open_):
+            out.append(",")
+        comma = False
+        if c in "[{":
+            out.append(c)
+            open_.append("]" if c == "[" else "}")
+            value, at = False, at + 1
+            continue
+        end = _string_end(text, at) if c == '"' else _SCALAR.match(text, at).end()
+        out.append(text[at:end])
+        value, at = True, end
+    if close:
+        out += reversed(open_)
+    return "".join(out)
 
 
-def unfenced(text: str) -> str:
-    """What stands in a code fence, closed or not; without a fence the text itself."""
-    body = text.strip()
-    if body.startswith("```"):
-        body = body[3:].removeprefix("json").removesuffix("```")
-    return body.strip()
+def _string_end(text: str, at: int) -> int:
+    """The place behind the string that begins at a quote; a string without end runs to the end of the text."""
+    at += 1
+    while at < len(text) and text[at] != '"':
+        at += 2 if text[at] == "\\" else 1
+    return min(at + 1, len(text))
 
 
 def repaired(text: str | None) -> str | None:
-    """Compact JSON of a model's answer: trailing commas go, brackets left open are closed, lists before objects. None
-    where that doesn't make it valid."""
-    if not text:
-        return None
-    body = unfenced(text)
-    for attempt in (lambda: body, lambda: _closed(_TRAILING_COMMA.sub("", body))):
-        try:
-            return json.dumps(json.loads(attempt()), separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
-
-
-def _closed(body: str) -> str:
-    lists, objects = (body.count(o) - body.count(c) for o, c in ("[]", "{}"))
-    if lists <= 0 and objects <= 0:
-        return body
-    return body.rstrip().rstrip(",") + "]" * max(0, lists) + "}" * max(0, objects)
+    """Compact JSON of a model's answer, with commas and brackets mended. None where that doesn't make it valid."""
+    return parsed_output(text)[0] if text else None
 
 
 def parsed_output(raw: str | None) -> tuple[str | None, str | None]:
-    """JSON of the object in a model's output, or an error message. Missing commas between lines are put in: first only
-    before keys, then before any string."""
-    text = (raw or "").strip()
-    fence = re.search(r"```(?:json)?\s*([\s\S]+?)(?:```|$)", text)
-    outer = None if fence else re.search(r"\{[\s\S]+\}", text)
-    body = fence[1].strip() if fence else outer[0] if outer else text
-    body = _NEXT_KEY.sub(r",\1", body)
-    error = ""
-    for attempt in (body, _NEXT_ITEM.sub(r",\1", body)):
+    """Compact JSON of the value in a model's output, or an error message. A value that is valid as it stands isn't mended."""
+    text, error = raw or "", ""
+    for body in (text, json_text(text, False, False), json_text(text)):
         try:
-            return json.dumps(json.loads(attempt), separators=(",", ":"), ensure_ascii=False), None
+            return json.dumps(json.loads(body), separators=(",", ":"), ensure_ascii=False), None
         except ValueError as e:
-            error = error or str(e)
-    return None, f"JSON parse error: {error} | raw[:200]: {(raw or '')[:200]}"
+            error = str(e)
+    return None, f"{ERROR}: {error} | raw[:200]: {text[:200]}"
 
 
 @F.pandas_udf(StringType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What counts as white space in Unicode text; Java's \s is ASCII only.
 SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+#: Fixed value: control characters that are deleted.
 CONTROLS = "[\\x00-\\x1f\\x7f-\\x9f]"
 #: Abbreviations in venue names, in the order they are replaced.
 VENUE_WORDS = [("conf", "Conference"), ("proc", "Proceedings"), ("int'l", "International"), ("intl", "International"), ("symp", "Symposium"), ("trans", "Transactions")]
@@ -67,12 +68,20 @@ def domain_of(text: Column) -> Column:
     return found
 
 
+#: The tiers of a citation count that a text states, by the count at which the next begins.
+STATED_TIERS = [("low", 200), ("medium", 1000), ("high", 10000), ("landmark", None)]
+
+
 def popularity_in_text(text: Column) -> Column:
-    """The tier of the first citation count that the text states."""
-    first = F.regexp_extract(text, r"""(?i)citationcount["']?\s*[:=]\s*(\d+)""", 1)
-    second = F.regexp_extract(text, r"""(?i)citations?["']?\s*[:=]\s*(\d+)""", 1)
-    count = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))).cast("decimal(38,0)")
-    return F.when(count.isNull(), "unknown").when(count < 200, "low").when(count < 1000, "medium").when(count < 10000, "high").otherwise("landmark")
+    """The tier of the citation count that a text states in the form name, colon or equals sign, number: one named
+    citationCount rather than one named citation or citations."""
+    stated = F.regexp_extract_all(F.lower(text), F.lit(r"citation(count|s|)[\"']?\s*[:=]\s*([0-9]+)"), F.lit(0))
+    number = lambda found: F.regexp_extract(found, "[0-9]+$", 0).cast("decimal(38,0)")
+    by_name = F.concat(F.filter(stated, lambda x: x.startswith("citationcount")), stated)
+    count, tier = number(F.get(by_name, 0)), F.lit(STATED_TIERS[-1][0])
+    for name, end in reversed(STATED_TIERS[:-1]):
+        tier = F.when(count < end, name).otherwise(tier)
+    return F.when(count.isNull(), "unknown").otherwise(tier)
 
 
 def candidate_ids(prompt: Column, pattern: str = r"paper_?id[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9]+)") -> Column:

@@ -132,6 +132,9 @@ def test_catalog_ids(spark):
 def test_json_repair_and_output_parsing(spark):
     assert parsing.repaired('```json\n{"a": [1, 2,], "b": {"c": 1,}\n```') == '{"a":[1,2],"b":{"c":1}}'
     assert parsing.repaired("no json") is None and parsing.repaired("") is None
+    assert parsing.repaired('{"a": "x, ]",\n"b": "y \\" }"\n"c": [1\n2, "z",') == json.dumps({"a": "x, ]", "b": 'y " }', "c": [1, 2, "z"]}, separators=(",", ":"))
+    assert parsing.repaired('{"a": 1,, "b": [] "c": {}} and {"d": 2}') == '{"a":1,"b":[],"c":{}}'
+    assert parsing.repaired('{"a": "open') is None and parsing.repaired("[1}") is None
     good, error = parsing.parsed_output('text {"a": "x"\n "b": [1]} tail')
     assert json.loads(good) == {"a": "x", "b": [1]} and error is None
     assert parsing.parsed_output("{bad")[1].startswith("JSON parse error")
