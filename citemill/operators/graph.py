@@ -5,15 +5,11 @@ Rounds of iterative metrics are cut with written tables, so that plans stay smal
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citemill.sources.storage import written
+from citemill.sources.storage import discard, written
 
 
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,6 +49,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
         sent = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("out")).alias("sent"))
         value = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("sent", F.lit(0.0))
         step = written(ranks.join(sent, F.col("id") == F.col("dst"), "left").select("id", value.alias("pagerank"), "dangling", F.abs(value - F.col("pagerank")).alias("change")), "ranks")
+        discard(ranks)
         ranks = step.drop("change")
         if not fixed and step.agg(F.sum("change")).first()[0] < n * tolerance:
             break
@@ -61,79 +58,84 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id that is connected, whatever the direction.
+    """id, component: the smallest id that is connected, whatever the direction."""
+    links = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    roots = link_components(links)
+    return vertices.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def link_components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b): root is the smallest node that can be reached.
 
-    Labels spread to neighbours and are then followed to the label of the label, so the distance that a label travels
-    doubles each round.
+    Each round points every node to its smallest neighbour, follows the pointers to their ends and contracts the
+    links to the ends; what remains is at most half the nodes. Rounds are written to the shared folder.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
-    both = written(both.toDF("src", "dst"), "both-ways")
-    labels = written(vertices.select("id", F.col("id").alias("component")), "labels")
+    links, placed = written(links, "links"), None
+    while placed is None or not links.isEmpty():
+        lowest = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+        points = _ends(written(lowest.select("node", F.least("node", "low").alias("root")), "points"))
+        if placed is None:
+            placed = points
+        else:
+            further = points.select(F.col("node").alias("root"), F.col("root").alias("end"))
+            older, placed = placed, written(placed.join(further, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "placed")
+            discard(older)
+        a, b = (points.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        ahead = links.join(a, "a").join(b, "b").filter("root_a <> root_b")
+        older, links = links, written(ahead.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
+        discard(older)
+    return placed
+
+
+def _ends(points: DataFrame) -> DataFrame:
+    """Pointers (node, root) followed to their ends, doubling the distance in each step."""
     while True:
-        near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
-        lower = written(labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before")), "labels")
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = written(lower.join(jump, "component", "left").select("id", F.least("component", "further").alias("component"), "before"), "labels")
-        labels = step.select("id", "component")
-        if step.filter("component <> before").isEmpty():
-            return labels
+        ends = points.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        step = written(points.join(ends, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "points")
+        discard(points)
+        points = step.select("node", "root")
+        if step.filter("moved").isEmpty():
+            return points
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("size"))
 
 
-#: Edges up to which every task holds the whole graph for betweenness: a few hundred MB.
-BETWEENNESS_EDGES = 5_000_000
+#: Pairs (source, vertex) that one block of sources may reach.
+BLOCK_PAIRS = 50_000_000
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """id, betweenness: Brandes' sums over all sources, divided by (n - 1)(n - 2) for n > 2.
 
-    Sources are dealt out to tasks; each task walks the graph, a broadcast of at most BETWEENNESS_EDGES edges, and
-    returns one row per vertex, summed by the cluster.
+    Sources are taken in blocks. For all sources of a block at once, the frontier (source, vertex, paths) moves over the
+    edges level by level, one join and sum each; then what paths add to a vertex is summed backwards over the same
+    levels. The work is that of the exact metric, about n times the edges in all, but no task holds the graph.
     """
-    spark: SparkSession = vertices.sparkSession
-    m = edges.count()
-    if m > BETWEENNESS_EDGES:
-        raise ValueError(f"betweenness holds the graph in each task; {m} edges are more than {BETWEENNESS_EDGES}")
-    adjacency: dict[str, list[str]] = {}
-    for src, dst in edges.select("src", "dst").distinct().filter("src <> dst").toLocalIterator():
-        adjacency.setdefault(src, []).append(dst)
-    graph = spark.sparkContext.broadcast(adjacency)
     n = vertices.count()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for batch in batches:
-            for source in batch["id"]:
-                for v, x in _dependencies(graph.value, source).items():
-                    total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype="float64")})
-
-    dealt = vertices.select("id").repartition(partitions or spark.sparkContext.defaultParallelism * 2, "id")
-    summed = dealt.mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
+    total = None
+    step = written(edges.select("src", "dst").distinct().filter("src <> dst"), "steps")
+    blocks = max(1, -(-n * n // block_pairs))
+    for block in range(blocks):
+        levels = [written(vertices.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(1.0).alias("paths")), "frontier")]
+        found = levels[0].select("source", "vertex")
+        while not levels[-1].isEmpty():
+            moved = levels[-1].join(step, F.col("vertex") == F.col("src")).groupBy("source", F.col("dst").alias("vertex")).agg(F.sum("paths").alias("paths"))
+            levels.append(written(moved.join(found, ["source", "vertex"], "left_anti"), "frontier"))
+            found = found.unionByName(levels[-1].select("source", "vertex"))
+        later = None
+        for level in reversed(levels[1:-1]):
+            share = level.withColumn("sum", F.lit(0.0)) if later is None else level.join(later, ["source", "vertex"], "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+            share = written(share, "shares")
+            part = share.groupBy(F.col("vertex").alias("id")).agg(F.sum("sum").alias("part"))
+            total = part if total is None else total.unionByName(part)
+            back = share.join(step, F.col("vertex") == F.col("dst")).select("source", F.col("src").alias("vertex"), ((1 + F.col("sum")) / F.col("paths")).alias("sent"))
+            before = levels[levels.index(level) - 1]
+            later = back.groupBy("source", "vertex").agg(F.sum("sent").alias("sent")).join(before, ["source", "vertex"]).select("source", "vertex", (F.col("sent") * F.col("paths")).alias("sum"))
+        if total is not None:
+            total = written(total.groupBy("id").agg(F.sum("part").alias("part")), "betweenness")
+        discard(*levels)
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return vertices.select("id").join(summed, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def _dependencies(graph: dict[str, list[str]], source: str) -> dict[str, float]:
-    """What the shortest paths from one source add to each vertex."""
-    distance, paths, order, waiting = {source: 0}, {source: 1.0}, [], deque([source])
-    before: dict[str, list[str]] = {}
-    while waiting:
-        v = waiting.popleft()
-        order.append(v)
-        for w in graph.get(v, ()):
-            if w not in distance:
-                distance[w] = distance[v] + 1
-                waiting.append(w)
-            if distance[w] == distance[v] + 1:
-                paths[w] = paths.get(w, 0.0) + paths[v]
-                before.setdefault(w, []).append(v)
-    sums = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before.get(w, ()):
-            sums[v] += paths[v] / paths[w] * (1 + sums[w])
-    sums.pop(source)
-    return sums
+    parts = vertices.select("id", F.lit(0.0).alias("part")).unionByName(total) if total is not None else vertices.select("id", F.lit(0.0).alias("part"))
+    return parts.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))

@@ -105,13 +105,37 @@ def failure_rows(results: DataFrame) -> DataFrame:
 
 
 def swap(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Writes all tables under a new version folder and, when all are there, names it in the file CURRENT."""
+    """Writes all tables under a new version folder and, when all are there, renames a file that names it to the next
+    number in the folder CURRENT. A rename is atomic and older numbers stay, so a reader always finds one whole version; of
+    two writers that take the same number the second fails."""
     version = f"{root}/v-{uuid.uuid4().hex}"
     for name, rows in tables.items():
         rows.write.parquet(f"{version}/{name}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
+    files, path = _files(spark, root)
+    last = _numbers(spark, root)
+    draft, target = path(f"{version}/POINTER"), path(f"{root}/CURRENT/{(last[-1] if last else 0) + 1:012d}")
+    out = files.create(draft)
+    out.write(bytearray(version.encode()))
+    out.close()
+    files.mkdirs(path(f"{root}/CURRENT"))
+    if files.exists(target) or not files.rename(draft, target):
+        raise RuntimeError(f"another writer swapped tables in {root}")
     return version
 
 
+def _files(spark: SparkSession, root: str):
+    """The file system of a folder, and the class of its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    files, path = _files(spark, root)
+    folder = path(f"{root}/CURRENT")
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(folder)) if files.exists(folder) else []
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{spark.read.text(f'{root}/CURRENT').first()[0]}/{name}")
+    """A table of the newest version."""
+    pointer = f"{root}/CURRENT/{_numbers(spark, root)[-1]:012d}"
+    return spark.read.parquet(f"{spark.read.text(pointer).first()[0]}/{name}")

@@ -59,14 +59,19 @@ def top_citations(cits: DataFrame, depth: Column | int = 0) -> DataFrame:
 def candidates(edges: DataFrame, by: str, k: int, or_anything: bool = False) -> DataFrame:
     """Methodology edges; where a group has fewer than k of them, influential ones as well; with or_anything, every edge
     where a group has neither. The k most cited of each group, with tier (1, 2, 3) and rank."""
-    group = Window.partitionBy(by)
-    n_methodology = F.sum(has("methodology").cast("int")).over(group)
-    n_any = F.sum((has("methodology") | influential()).cast("int")).over(group)
-    tier = F.when(has("methodology"), 1).when(influential() & (n_methodology < k), 2)
-    if or_anything:
-        tier = F.coalesce(tier, F.when(n_any == 0, 3))
-    kept = edges.withColumn("tier", tier).filter("tier is not null")
-    return top(kept, [by], [F.desc(zero(F.col("citation_count"))), F.asc("pos")], k)
+    order = [F.desc(zero(F.col("citation_count"))), F.asc("pos")]
+    tier = F.when(has("methodology"), 1).when(influential(), 2)
+    ranked = _best_of_tiers(edges.withColumn("tier", F.coalesce(tier, F.lit(3)) if or_anything else tier).filter("tier is not null"), by, order, k)
+    usable = (F.col("tier") == 1) | ((F.col("tier") == 2) & (F.col("_n1") < k)) | ((F.col("tier") == 3) & (F.col("_n1") + F.col("_n2") == 0))
+    return top(ranked.filter(usable).drop("_n1", "_n2"), [by], order, k)
+
+
+def _best_of_tiers(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    """The k best rows of each tier of each group, and how many of them (so k at most) are of tier 1 and 2, in _n1 and _n2.
+    Rows beyond the k best of a tier go before the shuffle, so a group of any size is 3 k rows for each task."""
+    best = top(rows, [by, "tier"], order, k).drop("rank")
+    count = lambda n: F.sum((F.col("tier") == n).cast("int")).over(Window.partitionBy(by))
+    return best.withColumns({"_n1": count(1), "_n2": count(2)})
 
 
 def most_cited(edges: DataFrame, by: str, other: str, k: int) -> DataFrame:
@@ -82,10 +87,9 @@ def cached_candidates(edges: DataFrame, papers: DataFrame, by: str, other: str,
         rows = rows.join(papers.select(F.col("paper_id").alias(by), F.col("year").alias("from_year")), by)
         rows = rows.filter(F.col("year").between(F.col("from_year") + 1, F.col("from_year") + window))
     mentions = F.coalesce(F.to_json("intents"), F.lit("")).contains("methodology")
-    n = F.sum(mentions.cast("int")).over(Window.partitionBy(by))
-    counted = rows.withColumn("_mentions", mentions).withColumn("_n", n)
-    kept = counted.filter(F.col("_mentions") | (influential() & (F.col("_n") == 0))).drop("_mentions", "_n")
-    return most_cited(kept, by, other, k)
+    tiered = rows.withColumn("tier", F.when(mentions, 1).when(influential(), 2)).filter("tier is not null")
+    ranked = _best_of_tiers(tiered, by, [F.desc(zero(F.col("citation_count"))), F.asc(other)], k)
+    return most_cited(ranked.filter((F.col("tier") == 1) | (F.col("_n1") == 0)).drop("tier", "_n1", "_n2"), by, other, k)
 
 
 def forward_window(year: Column, citing_year: Column, width: int = 3) -> Column:
@@ -101,4 +105,4 @@ def search_titles(papers: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def domain_quota(seeds: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """max(1, total // domains) seeds of each domain, in an order fixed by a hash."""
     domains = seeds.select("domain").distinct().count()
-    return top(seeds, ["domain"], [F.xxhash64(F.lit(seed), "paper_id"), F.asc("paper_id")], max(1, total // max(1, domains)))
+    return top(seeds, ["domain"], [F.md5(F.concat_ws(":", F.lit(seed), "paper_id").cast("binary")), F.asc("paper_id")], max(1, total // max(1, domains)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.operators.graph import components
+from citemill.sources.storage import numbered, numbered_in
 
 TIERS = ["low", "medium", "high", "very_high", "landmark"]
 
@@ -18,7 +19,7 @@ def clusters(samples: DataFrame) -> DataFrame:
     edges = pairs.filter("paper is not null").select("src", F.concat(F.lit("t:"), "paper").alias("dst")).distinct()
     labels = components(vertices, edges).filter("id like 's:%'")
     # Sample ids sort before papers, so a component's smallest id is its smallest sample.
-    numbers = labels.select("component").distinct().withColumn("cluster", (F.dense_rank().over(Window.orderBy("component")) - 1).cast("bigint"))
+    numbers = numbered(labels.select("component").distinct(), "component", "cluster")
     return labels.join(numbers, "component").select(F.substring("id", 3, 20).cast("bigint").alias("sample"), "cluster")
 
 
@@ -65,11 +66,14 @@ def assign_splits(profiles: DataFrame, train: float = 0.8, val: float = 0.1, see
     the second tests; otherwise quotas with half-even rounding, at least one each, by place after a shuffle inside
     blocks of a third."""
     stratum = F.concat_ws("_", "cluster_field", "cluster_tier")
-    whole = Window.partitionBy("stratum")
-    rows = profiles.withColumn("stratum", stratum).withColumn("n", F.count("*").over(whole))
-    rows = rows.withColumn("_i", F.row_number().over(whole.orderBy("cluster_max_year", "cluster")) - 1)
+    rows = profiles.withColumn("stratum", stratum)
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
+    # Lots: a year's clusters, then blocks of the shuffle cut by the first digits of its hash.
+    rows = numbered_in(rows.join(sizes, "stratum"), "stratum", "cluster_max_year", ["cluster"], "_i")
     block = F.floor(F.col("_i") / F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
-    rows = rows.withColumn("_block", block).withColumn("_at", F.row_number().over(whole.orderBy("_block", F.xxhash64(F.lit(seed), "cluster"), "cluster")))
+    shuffled = F.md5(F.concat_ws(":", F.lit(seed), "cluster").cast("binary"))
+    rows = rows.withColumns({"_block": block, "_hash": shuffled}).withColumn("_lot", F.concat_ws(":", F.lpad(F.col("_block").cast("string"), 2, "0"), F.substring("_hash", 1, 2)))
+    rows = numbered_in(rows, "stratum", "_lot", ["_hash", "cluster"], "_at").withColumn("_at", F.col("_at") + 1)
     n = F.col("n")
     quota = lambda share: F.greatest(F.lit(1), F.bround(n * share).cast("int"))
     n_val = quota(val)
@@ -78,7 +82,7 @@ def assign_splits(profiles: DataFrame, train: float = 0.8, val: float = 0.1, see
         F.when(n == 1, "train").when(n == 2, F.when(F.col("_i") == 0, "train").otherwise("test"))
         .when(F.col("_at") <= n_train, "train").when(F.col("_at") <= n_train + n_val, "val").otherwise("test")
     )
-    return rows.withColumn("split", split).drop("n", "_i", "_block", "_at")
+    return rows.withColumn("split", split).drop("n", "_i", "_block", "_at", "_hash", "_lot")
 
 
 def leakage(rows: DataFrame) -> DataFrame:

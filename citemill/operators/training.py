@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.ids import primary_field
 from citemill.functions.metrics import temporal_gap
+from citemill.sources.storage import numbered
 
 #: Fields that answers must fill.
 ANALYSIS_FIELDS = ["problem_addressed", "core_method", "key_innovation", "breakthrough_level", "explanation_eli5", "explanation_intuitive", "explanation_technical"]
@@ -52,13 +53,15 @@ def paper_metadata(papers: DataFrame) -> DataFrame:
 
 
 def sidecar(examples: DataFrame) -> DataFrame:
-    """examples (pos, input, output, metadata, level_info) -> sample_index and original_index from 0 by position, the pair
-    of texts and the metadata columns; examples without either text are left out."""
-    indexed = examples.withColumn("original_index", F.row_number().over(Window.orderBy("pos")) - 1)
-    kept = indexed.filter("coalesce(input, '') <> '' and coalesce(output, '') <> ''")
+    """examples (pos, input, output, metadata, level_info) -> sample_index and original_index from 0 by position (one
+    example each), the pair of texts and the metadata columns; examples without either text are left out."""
+    whole = F.expr("coalesce(input, '') <> '' and coalesce(output, '') <> ''").alias("_whole")
+    keys = numbered(examples.select("pos", whole), "pos", "original_index")
+    keys = numbered(keys, "pos", "sample_index", of="_whole").filter("_whole").drop("_whole")
+    kept = examples.join(keys, "pos")
     meta, target, before = F.col("metadata"), F.col("level_info.target_paper"), F.col("level_info.predecessor_paper")
     return kept.select(
-        (F.row_number().over(Window.orderBy("pos")) - 1).alias("sample_index"), "original_index", F.col("input").alias("input_text"), F.col("output").alias("output_text"),
+        "sample_index", "original_index", F.col("input").alias("input_text"), F.col("output").alias("output_text"),
         F.coalesce(meta["target_paper_id"], target["paper_id"]).alias("seed_paper_id"), target["year"].alias("seed_paper_year"), target["citation_count"].alias("seed_citation_count"),
         target["field_of_study"].alias("seed_field_of_study"), F.coalesce(meta["predecessor_paper_id"], before["paper_id"]).alias("predecessor_paper_id"), before["year"].alias("predecessor_paper_year"),
         F.coalesce(meta["depth"], F.lit(0)).alias("depth"), F.coalesce(meta["candidates_considered"], F.lit(0)).alias("candidate_list_size"), meta["target_source_type"].alias("source_type"),

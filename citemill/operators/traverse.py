@@ -94,7 +94,8 @@ def tree(papers: DataFrame, refs: DataFrame, cits: DataFrame, root: str, max_dep
             best = candidates(rows.dropDuplicates([by, other]), by, width)
             level = written(best.select(F.lit(kind).alias("node_type"), F.lit(depth).alias("depth"), F.col(by).alias("parent_id"), F.col(other).alias("paper_id"), "rank", F.concat("path", F.array(other)).alias("path"), F.coalesce("year", "parent_year").alias("year")), "tree")
             nodes = nodes.unionByName(level.select(*nodes.columns))
-            level = level.dropDuplicates(["paper_id"]).select("paper_id", "path", "year")
+            # A paper that several parents reach is followed once, from the smallest path.
+            level = level.groupBy("paper_id").agg(F.min("path").alias("path"), F.min_by("year", "path").alias("year"))
     return nodes
 
 

@@ -161,7 +161,15 @@ def x01_clean_text(read):
     return read("conversations").select("conv_id", "turn", text.clean_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(
+    r"""
+    WITH v AS (SELECT paper_id, ' Proc. Int''l  Symp. conf ' || coalesce(venue, '') AS v FROM papers)
+    SELECT paper_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v,
+        '(?i)\bconf\b', 'Conference', 'g'), '(?i)\bproc\b', 'Proceedings', 'g'), '(?i)\bint''l\b', 'International', 'g'), '(?i)\bintl\b', 'International', 'g'),
+        '(?i)\bsymp\b', 'Symposium', 'g'), '(?i)\btrans\b', 'Transactions', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS venue FROM v
+    """,
+    "papers",
+)
 def x02_clean_venue(read):
     return read("papers").select("paper_id", text.clean_venue(F.concat(F.lit(" Proc. Int'l  Symp. conf "), F.coalesce("venue", F.lit("")))).alias("venue"))
 
@@ -196,13 +204,13 @@ def a09_cleaning_stats(read):
 @query(
     """
     SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ARXIV:' || n WHEN page_id % 3 = 1 THEN 'ARXIV:' || n ELSE 'id' || n END AS normal
-    FROM (SELECT page_id, CAST(1000 + page_id AS varchar) || '.' || CAST(10000 + page_id AS varchar) AS n FROM pages WHERE page_id < 8000)
+    FROM (SELECT page_id, CAST(1000 + page_id % 9000 AS varchar) || '.' || CAST(10000 + page_id % 90000 AS varchar) AS n FROM pages)
     """
 )
 def x05_normalize_id(read):
-    n = F.concat((F.col("page_id") + 1000).cast("string"), F.lit("."), (F.col("page_id") + 10000).cast("string"))
+    n = F.concat((F.col("page_id") % 9000 + 1000).cast("string"), F.lit("."), (F.col("page_id") % 90000 + 10000).cast("string"))
     raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), n, F.lit("v2"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit(" "), n, F.lit(" "))).otherwise(F.concat(F.lit("id"), n))
-    return read("pages").filter("page_id < 8000").select("page_id", ids.normalize_id(raw).alias("normal"))
+    return read("pages").select("page_id", ids.normalize_id(raw).alias("normal"))
 
 
 # Ranking
@@ -316,7 +324,14 @@ def o04_p39_saved_search(read):
     return read("logs").filter("level = 'ERROR' and logger is not null").orderBy(F.desc("ts")).limit(100).select("ts", "logger", "value")
 
 
-@query()
+@query(
+    """
+    SELECT domain, paper_id, CAST(rank AS int) AS rank FROM (
+        SELECT field AS domain, sample AS paper_id, row_number() OVER (PARTITION BY field ORDER BY md5('0:' || sample), sample) AS rank FROM examples)
+    WHERE rank <= (SELECT greatest(1, 100 // count(DISTINCT field)) FROM examples)
+    """,
+    "examples",
+)
 def o05_o06_domain_quota(read):
     return ranking.domain_quota(read("examples").select(F.col("sample").alias("paper_id"), F.col("field").alias("domain")), 100).select("domain", "paper_id", "rank")
 
@@ -519,7 +534,21 @@ def j06_disconnected(read):
     return anomaly.disconnected(read("papers"), read("refs"))
 
 
-@query()
+@query(
+    """
+    WITH s AS (SELECT avg(citation_count) AS m, stddev_samp(citation_count) AS sd FROM papers),
+    r AS (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY pos) AS k FROM refs)
+    SELECT 'missing_data' AS category, 'missing_abstracts' AS anomaly, count(*) AS n FROM papers WHERE coalesce(abstract, '') = '' HAVING count(*) > 0
+    UNION ALL SELECT 'missing_data', 'missing_years', count(*) FROM papers WHERE coalesce(year, 0) = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'missing_data', 'missing_venues', count(*) FROM papers WHERE coalesce(venue, '') = '' HAVING count(*) > 0
+    UNION ALL SELECT 'outliers', 'citation_outliers', count(*) FROM papers, s WHERE abs((citation_count - m) / sd) > 3 HAVING count(*) > 0
+    UNION ALL SELECT 'citation_anomalies', 'self_citations', count(*) FROM r WHERE from_id = to_id HAVING count(*) > 0
+    UNION ALL SELECT 'citation_anomalies', 'duplicate_citations', count(*) FROM r WHERE k > 1 HAVING count(*) > 0
+    UNION ALL SELECT 'disconnected_papers', 'disconnected_papers', count(*) FROM papers WHERE paper_id NOT IN (SELECT from_id FROM refs UNION SELECT to_id FROM refs) HAVING count(*) > 0
+    """,
+    "papers",
+    "refs",
+)
 def a17_total_anomalies(read):
     return anomaly.all_anomalies(read("papers"), read("refs")).groupBy("category", "anomaly").agg(F.count("*").alias("n"))
 
@@ -647,7 +676,19 @@ def g02_pagerank(read):
     return rows.select("id", F.round("pagerank", 7).alias("pagerank"))
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+    walk AS (SELECT id AS s, id AS v, 0 AS d FROM nodes UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.v WHERE w.d < 6),
+    dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY s, v),
+    paths AS (SELECT s, v, d, 1.0::double AS n FROM dist WHERE d = 0 UNION ALL
+        SELECT s, v, d, sum(n) FROM (SELECT p.s, e.dst AS v, p.d + 1 AS d, p.n FROM paths p JOIN e ON e.src = p.v JOIN dist t ON t.s = p.s AND t.v = e.dst AND t.d = p.d + 1) GROUP BY s, v, d),
+    b AS (SELECT a.v AS id, sum(a.n * b.n / c.n) AS x FROM paths a JOIN paths b ON b.s = a.v JOIN paths c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v GROUP BY a.v)
+    SELECT id, round(coalesce(x, 0) / ((n - 1.0) * (n - 2.0)), 9) AS betweenness FROM nodes LEFT JOIN b USING (id), (SELECT count(*) AS n FROM nodes)
+    """,
+    "nodes",
+    "edges",
+)
 def g03_betweenness(read):
     return graph.betweenness(read("nodes"), read("edges")).withColumn("betweenness", F.round("betweenness", 9))
 
@@ -725,13 +766,14 @@ def g14_g15_w07_chains(read):
 @query(
     """
     SELECT sample, dense_rank() OVER (ORDER BY first) - 1 AS cluster FROM (
-        WITH RECURSIVE e AS (SELECT sample, unnest([paper_a, paper_b]) AS paper FROM examples WHERE sample % 50 = 0), n AS (SELECT DISTINCT a.sample AS s, b.sample AS d FROM e a JOIN e b USING (paper)),
-        w AS (SELECT s, d FROM n UNION SELECT w.s, n.d FROM w JOIN n ON n.s = w.d) SELECT s AS sample, min(d) AS first FROM w GROUP BY s)
+        WITH RECURSIVE n AS (SELECT DISTINCT paper_a AS s, paper_b AS d FROM examples UNION SELECT paper_b, paper_a FROM examples UNION SELECT paper_a, paper_a FROM examples),
+        w AS (SELECT s, d FROM n UNION SELECT w.s, n.d FROM w JOIN n ON n.s = w.d), m AS (SELECT paper, min(sample) AS low FROM (SELECT sample, unnest([paper_a, paper_b]) AS paper FROM examples) GROUP BY paper),
+        f AS (SELECT s AS paper, min(low) AS first FROM w JOIN m ON m.paper = w.d GROUP BY s) SELECT sample, first FROM examples JOIN f ON f.paper = examples.paper_a)
     """,
     "examples",
 )
 def g09_clusters(read):
-    rows = read("examples").filter("sample % 50 = 0").select("sample", F.array("paper_a", "paper_b").alias("chain"))
+    rows = read("examples").select("sample", F.array("paper_a", "paper_b").alias("chain"))
     return splits.clusters(rows)
 
 
@@ -763,7 +805,20 @@ def a23_cluster_profiles(read):
     return splits.cluster_profiles(_clustered(read)).drop("cluster_tier")
 
 
-@query()
+@query(
+    """
+    WITH q AS (SELECT quantile_cont(citation_count, [0.2, 0.4, 0.6, 0.8]) AS q FROM examples),
+    s AS (SELECT *, CAST(paper_a AS bigint) % 300 AS cluster, CASE WHEN citation_count <= q[1] THEN 1 WHEN citation_count <= q[2] THEN 2 WHEN citation_count <= q[3] THEN 3 WHEN citation_count <= q[4] THEN 4 ELSE 5 END AS t FROM examples, q),
+    f AS (SELECT cluster, field FROM (SELECT cluster, field, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, field) AS k FROM s GROUP BY cluster, field) WHERE k = 1),
+    t AS (SELECT cluster, t FROM (SELECT cluster, t, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, t) AS k FROM s GROUP BY cluster, t) WHERE k = 1),
+    p AS (SELECT cluster, max(year) AS y, any_value(f.field) || '_' || ['low', 'medium', 'high', 'very_high', 'landmark'][any_value(t.t)] AS stratum FROM s JOIN f USING (cluster) JOIN t USING (cluster) GROUP BY cluster),
+    i AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY y NULLS FIRST, cluster) - 1 AS i FROM p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY i // greatest(n // 3, 1), md5('42:' || cluster), cluster) AS k, greatest(1, round_even(n * 0.8, 0)) AS train, greatest(1, round_even(n * 0.1, 0)) AS val FROM i),
+    c AS (SELECT *, CASE WHEN n - train - val <= 0 THEN n - val - 1 ELSE train END AS cut FROM b)
+    SELECT cluster, stratum, CASE WHEN n = 1 THEN 'train' WHEN n = 2 THEN CASE WHEN i = 0 THEN 'train' ELSE 'test' END WHEN k <= cut THEN 'train' WHEN k <= cut + val THEN 'val' ELSE 'test' END AS split FROM c
+    """,
+    "examples",
+)
 def l01_l06_splits(read):
     return splits.assign_splits(splits.cluster_profiles(_clustered(read))).select("cluster", "stratum", "split")
 
@@ -844,13 +899,15 @@ def v08_cosine(read):
 
 @query(
     """
-    SELECT label AS sample, round(avg(best), 5) AS similarity FROM (
-        SELECT a.label, a.vec_id, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 1 GROUP BY ALL) GROUP BY label
+    WITH e AS (SELECT vec_id, vec_id // 20 AS sample, embedding::double[] AS v FROM embeddings)
+    SELECT sample, round(avg(best), 5) AS similarity FROM (
+        SELECT a.sample, a.vec_id, max(list_cosine_similarity(a.v, b.v)) AS best FROM e a JOIN e b ON a.sample = b.sample WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL) GROUP BY sample
     """
 )
 def v09_list_similarity(read):
-    rows = read("embeddings").select(F.col("label").alias("sample"), F.col("embedding").alias("vector"), "vec_id")
-    found = evaluate.list_similarity(rows.filter("vec_id % 5 = 0"), rows.filter("vec_id % 5 = 1"))
+    # A sample has twenty vectors: even ones are the truth, odd ones predicted.
+    rows = read("embeddings").select(F.expr("vec_id div 20").alias("sample"), F.col("embedding").alias("vector"), "vec_id")
+    found = evaluate.list_similarity(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"))
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
@@ -963,13 +1020,13 @@ def k11_save_feedback(read):
 @query(
     """
     SELECT p.paper_id, p.pos % 2 = 0 AS has_analysis, p.pos % 3 = 0 AS has_comparison, CAST(count(q.paper_id) AS int) AS influences, max(q.title) AS best_title
-    FROM papers p LEFT JOIN papers q ON q.pos IN (p.pos + 1, p.pos + 2) AND p.pos % 5 = 0 WHERE p.pos < 100 GROUP BY ALL
+    FROM papers p LEFT JOIN papers q ON q.pos IN (p.pos + 1, p.pos + 2) AND p.pos % 5 = 0 GROUP BY ALL
     """,
     "papers",
 )
 def j19_j20_analysis(read):
     rows = read("papers")
-    some = rows.filter("pos < 100")
+    some = rows
     analysis, comparison = some.filter("pos % 2 = 0").select("paper_id", F.lit(True).alias("a")), some.filter("pos % 3 = 0").select("paper_id", F.lit(True).alias("c"))
     influences = some.filter("pos % 5 = 0").select("paper_id", F.explode(F.array((F.col("pos") + 1).cast("string"), (F.col("pos") + 2).cast("string"))).alias("influence_id"), F.lit("x").alias("contribution"))
     found = serving.assemble_analysis(some.select("paper_id"), analysis, comparison, influences, rows)
@@ -1021,7 +1078,7 @@ def p28_p29_sidecar(read):
 
 @query(
     """
-    WITH e AS (SELECT sample, paper_a AS paper_id, paper_b AS predecessor_id, CASE WHEN sample % 10 = 0 THEN [paper_b, paper_a] ELSE [] END AS chain FROM examples WHERE sample < 2000),
+    WITH e AS (SELECT sample, paper_a AS paper_id, paper_b AS predecessor_id, CASE WHEN sample % 10 = 0 THEN [paper_b, paper_a] ELSE [] END AS chain FROM examples),
     own AS (SELECT paper_id, max_by(chain, sample) AS c FROM (SELECT sample, chain, unnest(chain) AS paper_id FROM e) GROUP BY 1),
     aft AS (SELECT predecessor_id AS paper_id, min_by(chain, sample) AS c FROM e WHERE len(chain) > 0 GROUP BY 1)
     SELECT e.sample AS pos, array_to_string(CASE WHEN len(chain) > 0 THEN chain WHEN own.c IS NOT NULL THEN list_append(own.c, e.paper_id) WHEN aft.c IS NOT NULL THEN list_append(aft.c, e.paper_id) ELSE chain END, '>') AS chain,
@@ -1030,7 +1087,7 @@ def p28_p29_sidecar(read):
     "examples",
 )
 def g10_w05_j17_repair(read):
-    rows = read("examples").filter("sample < 2000")
+    rows = read("examples")
     entries = rows.select(F.col("sample").alias("pos"), F.col("paper_a").alias("paper_id"), F.col("paper_b").alias("predecessor_id"), F.when(F.col("sample") % 10 == 0, F.array("paper_b", "paper_a")).otherwise(F.array().cast("array<string>")).alias("chain"))
     return traverse.repair_chains(entries).select("pos", F.array_join("chain", ">").alias("chain"), "repaired")
 
@@ -1071,7 +1128,7 @@ def x27_pdf_source(read):
     return rows.select("c_custkey", F.regexp_replace("f.url", r"^https://arxiv.org/pdf/(\d+)\.pdf$", "a$1").alias("url"), "f.source")
 
 
-@query("SELECT kind, CAST(count(*) AS bigint) AS nodes FROM (SELECT 'target' AS kind)  GROUP BY kind")
-def a33_tree_target(read):
+@query()
+def a33_tree_nodes(read):
     nodes = traverse.tree(read("papers"), read("refs"), read("cits"), "5")
-    return nodes.filter("node_type = 'target'").groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("nodes"))
+    return nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("nodes"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citemill.plans import file_queries  # noqa: F401, registers its queries
 from citemill.plans.queries import ORACLES, QUERIES, flagship_top_influence  # noqa: F401
 
 

@@ -14,8 +14,9 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict:
 
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that don't parse."""
-    rows = spark.read.json(path, schema=f"{schema}, _corrupt_record string", mode="PERMISSIVE")
-    return rows.cache().filter("_corrupt_record is not null").select("_corrupt_record")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.filter(parsed["_corrupt_record"].isNotNull()).select(F.col("value").alias("_corrupt_record"))
 
 
 def line_count(spark: SparkSession, path: str) -> int:
@@ -84,6 +85,14 @@ def missing_tables(spark: SparkSession, required: list[str]) -> list[str]:
     return sorted(set(required) - {t.name for t in spark.catalog.listTables()})
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file, such as a report or a run's state, over what was there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def append_new(rows: DataFrame, path: str, key: str, schema: str) -> None:
     """Appends as JSON lines the rows whose key the file lacks."""
     spark = rows.sparkSession
