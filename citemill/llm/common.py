@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.sources.storage import shared_folder
+from citemill.sources.storage import discard, new_path, written  # noqa: F401, used beside these helpers
 
 #: White space of the word contracts: space and U+0009 to U+000D.
 SPACE = " \\x09-\\x0D"
@@ -15,29 +13,6 @@ SPACE = " \\x09-\\x0D"
 HOT_PARTS = 1000
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, options: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage with files that outlive executors, so a lost one costs no recomputation.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a table made by written(), when no later step reads it."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.llm.common import attach, bounded, discard, text_or_empty, written
-from citemill.llm.simhash_dedup import SEED, components, keep_rows, majority, near_links, repeated_rows, row_key
+from citemill.llm.simhash_dedup import SEED, keep_rows, majority, near_links, repeated_rows, row_key
+from citemill.operators.graph import link_components
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -190,7 +191,7 @@ def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame, shared_
     verify = Verifier(docs, lowest, repeats)
     links = verify.near(_close_prints(lowest))
     for number in range(PIVOT_ROUNDS + 1):
-        roots = components(links)
+        roots = link_components(links)
         named = members.select("*", F.col("x.set_id").alias("node")).join(roots, "node", "left")
         left = written(named.select("token", "x", F.coalesce("root", "node").alias("root")), "near-left")
         # Only tokens at which several components meet matter.
@@ -208,7 +209,7 @@ def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame, shared_
         links = links.unionByName(verify.near(_pairs(met)))
         discard(left)
     verify.close()
-    return components(links)
+    return link_components(links)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm.common import attach, bounded, discard, read_table, text_or_empty, written
+from citemill.llm.common import attach, bounded, read_table, text_or_empty, written
+from citemill.operators.graph import link_components
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -145,47 +146,13 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.filter(near).unionByName(stars.filter(near)).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the smallest node that can be reached.
-
-    Each round points every node to its smallest neighbour, follows the pointers to their ends and contracts the
-    links to the ends; what remains is at most half the nodes. Rounds are written to the shared folder.
-    """
-    links, placed = written(links, "links"), None
-    while placed is None or not links.isEmpty():
-        lowest = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        points = _ends(written(lowest.select("node", F.least("node", "low").alias("root")), "points"))
-        if placed is None:
-            placed = points
-        else:
-            further = points.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            older, placed = placed, written(placed.join(further, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "placed")
-            discard(older)
-        a, b = (points.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        ahead = links.join(a, "a").join(b, "b").filter("root_a <> root_b")
-        older, links = links, written(ahead.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
-        discard(older)
-    return placed
-
-
-def _ends(points: DataFrame) -> DataFrame:
-    """Pointers (node, root) followed to their ends, doubling the distance in each step."""
-    while True:
-        ends = points.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        step = written(points.join(ends, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "points")
-        discard(points)
-        points = step.select("node", "root")
-        if step.filter("moved").isEmpty():
-            return points
-
-
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id, component_size (documents in the component), and
     row_key and stays: of each component the rows that equal the one with the smallest doc_id stay."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     classes = written(prints.groupBy("fp").agg(F.min(first).alias("low"), F.count("*").alias("rows")), "classes")
-    roots = components(near_links(classes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    roots = link_components(near_links(classes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     whole = rooted.groupBy("root").agg(F.min("low").alias("first"), F.sum("rows").alias("component_size"), F.count("*").alias("prints"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citemill.llm import best_fit, digest_index, histogram_shards, license_scan, mixing, multiset_hash, secret_ledger, simhash_dedup, toxicity, warc_revisits
+from citemill.operators.graph import link_components
 from citemill.llm.common import written
 
 
@@ -46,7 +47,7 @@ def test_simhash_links_against_all_pairs(spark):
     table = written(spark.createDataFrame([(p,) for p in signed], "fp long"), "test")
     links = [(r.a, r.b) for r in simhash_dedup.near_links(table).collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links)
-    found = {r.node: r.root for r in simhash_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.node: r.root for r in link_components(spark.createDataFrame(links, "a long, b long")).collect()}
     root = {p: p for p in signed}
 
     def find(x):
@@ -64,7 +65,7 @@ def test_simhash_links_against_all_pairs(spark):
 
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
-    found = {r.node: r.root for r in simhash_dedup.components(links).collect()}
+    found = {r.node: r.root for r in link_components(links).collect()}
     assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
 
 
