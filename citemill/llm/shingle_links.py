@@ -10,7 +10,7 @@ of similarity 0.8 do so less than once in a million), and the shingles of both d
 Tokens that a sample finds often come last in the order: that saves candidates and changes no result.
 
 Pairs at a token grow with the square of its sets. So a few rounds compare each set only with one pivot of each of
-its tokens, and the last one compares all pairs that are not yet in one component: no link between components is lost.
+its tokens, every token with a pivot of its own, and the last one compares all pairs that are not yet in one component: no link between components is lost.
 Shingles of a text are read only once a pair asks for them.
 
 Defined results: words are lower-cased (A-Z) and split at ASCII white space; texts of fewer words are one shingle; null
@@ -195,7 +195,7 @@ def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame, shared_
         named = members.select("*", F.col("x.set_id").alias("node")).join(roots, "node", "left")
         left = written(named.select("token", "x", F.coalesce("root", "node").alias("root")), "near-left")
         # Only tokens at which several components meet matter.
-        pivot = F.min_by(F.struct("x", "root"), F.xxhash64("x.set_id", F.lit(number))).alias("pivot")
+        pivot = F.min_by(F.struct("x", "root"), F.xxhash64("x.set_id", "token", F.lit(number))).alias("pivot")
         open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), pivot)
         open_ = written(open_.filter("low <> high").select("token", "size", "pivot"), "near-open")
         if open_.isEmpty():
