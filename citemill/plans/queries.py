@@ -730,12 +730,12 @@ def g08_u03_lineage(read):
 @query(
     """
     WITH RECURSIVE b AS (SELECT DISTINCT from_id, to_id FROM refs), r AS (SELECT from_id AS ancestor, to_id AS descendant, 1 AS depth FROM b UNION SELECT r.ancestor, b.to_id, r.depth + 1 FROM r JOIN b ON b.from_id = r.descendant WHERE r.depth < 3)
-    SELECT ancestor, descendant, min(depth) AS depth, 'backward' AS direction FROM r GROUP BY ancestor, descendant
+    SELECT ancestor, depth, count(*) AS descendants, 'backward' AS direction FROM (SELECT ancestor, descendant, min(depth) AS depth FROM r GROUP BY ancestor, descendant) GROUP BY ancestor, depth
     """,
     "refs",
 )
 def g08_reachability(read):
-    return traverse.reachability(read("refs"), 3, "backward")
+    return traverse.reachability(read("refs"), 3, "backward").groupBy("ancestor", "depth", "direction").agg(F.count("*").alias("descendants"))
 
 
 @query()
