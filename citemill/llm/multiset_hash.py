@@ -31,6 +31,9 @@ LANE_BITS = 30
 ONE_BITS = 0x0000000100000001
 WORDS, SHIFTS = 2, 32
 PACKED = WORDS * SHIFTS
+#: Paragraphs that four lanes of 16 bits in a long hold without its sign; the lowest bits of the four, and the first and third of them.
+PART = (1 << 15) - 1
+NARROW_ONES, NARROW_MASK = 0x0001000100010001, 0x0000FFFF0000FFFF
 LANES = PACKED * 2
 #: Documents that one task takes next to each other at a time, about, in MAX_RUNS runs at most (with more documents the runs
 #: grow); a range of ids is cut where it has over RUN_LIMIT times as many. DEPTH: cuts of cuts.
@@ -52,13 +55,21 @@ def _struct(n: str, wide: list[str], packed: list[str]) -> str:
 
 
 def multiset_sum(column: str) -> Column:
-    """The vector of a text column's paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s63 (packed lanes)."""
+    """The vector of a text column's paragraphs: struct n (their number), w0..w3 (wide lanes), s0..s63 (packed lanes).
+
+    Paragraphs are first summed in parts that four lanes of 16 bits in a long can hold, which halves the terms."""
     hashes = ", ".join(f"'h{i}', xxhash64(p, {i})" for i in range(WIDE_LANES))
     hashed = f"transform({paragraphs(column)}, p -> named_struct({hashes}))"
     wide = [f"(a.w{i} + (h.h{i} & {WIDE_MASK}L)) & {WIDE_MASK}L" for i in range(WIDE_LANES)]
-    packed = [f"(a.s{i} + (shiftrightunsigned(h.h{i // SHIFTS}, {i % SHIFTS}) & {ONE_BITS}L)) & {LANE_MASK}L" for i in range(PACKED)]
-    zero = _struct("0", ["0L"] * WIDE_LANES, ["0L"] * PACKED)
-    return F.expr(f"aggregate({hashed}, {zero}, (a, h) -> {_struct('a.n + 1', wide, packed)})")
+    half = SHIFTS // 2
+    narrow = [f"a.s{j} + (shiftrightunsigned(h.h{j // half}, {j % half}) & {NARROW_ONES}L)" for j in range(PACKED // 2)]
+    part = f"aggregate(slice(all_, i + 1, {PART}), {_struct('0', ['0L'] * WIDE_LANES, ['0L'] * (PACKED // 2))}, (a, h) -> {_struct('a.n + 1', wide, narrow)})"
+    parts = f"transform(sequence(0, greatest(size(all_) - 1, 0), {PART}), i -> {part})"
+    added = [f"(a.w{i} + b.w{i}) & {WIDE_MASK}L" for i in range(WIDE_LANES)]
+    # Lane i % 32 of a word stands in the long of its lower 16 bits' shift, in its first or its second half.
+    packed = [f"a.s{i} + (shiftrightunsigned(b.s{i // SHIFTS * half + i % half}, {i % SHIFTS // half * half}) & {NARROW_MASK}L)" for i in range(PACKED)]
+    whole = f"aggregate({parts}, {_struct('0', ['0L'] * WIDE_LANES, ['0L'] * PACKED)}, (a, b) -> {_struct('a.n + b.n', added, packed)})"
+    return F.expr(f"element_at(transform(array({hashed}), all_ -> {whole}), 1)")
 
 
 def combine(a: str, b: str, sign: int = 1) -> Column:
