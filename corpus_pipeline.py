@@ -25,12 +25,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, by five-word shingles, the document with the smallest doc_id stays."""
+    """Of each component of near-duplicates, by SimHash links and five-word shingles, the document with the smallest doc_id
+    stays."""
     return shingle_links.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, shard by shard in random order; of a source's last document the words that
+    its target still lacks."""
     return mixing.drawn(docs).select(*docs.columns)
 
 
