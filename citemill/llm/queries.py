@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citemill.llm.best_fit import op5_best_fit
 from citemill.llm.digest_index import op6_digest_index
+from citemill.llm.filter_audit import op11_filter_audit
 from citemill.llm.histogram_shards import op2_histogram_shards
 from citemill.llm.license_scan import op8_license_scan
 from citemill.llm.mixing import op9_mixing_tree
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing_tree": op9_mixing_tree,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: kind -> pattern, the group that has a least length, and that length. A run of one class that is too short holds no
@@ -44,6 +46,9 @@ _MATCHES = " UNION ALL ".join(
         regexp_extract_all(text, '{pattern}', {group}) AS part, regexp_split_to_array(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}')"""
     for n, (kind, (pattern, group, least)) in enumerate(_KINDS.items())
 )
+#: The audit's filter i, whose bit is 1 << i, at a step of an order; and the bits of those that ran before it.
+_BIT = "CAST(1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1) AS int)"
+_BEFORE = " + ".join(f"CASE WHEN instr(filter_order, '{f}') < step THEN {1 << i} ELSE 0 END" for i, f in enumerate("ABCDE"))
 _JOINED = "string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, kind_no)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +78,23 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_filter_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        m AS (SELECT part,
+                CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask,
+                CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic FROM d),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        o AS (SELECT a || b || c || d || e AS filter_order
+              FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS b), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+                   (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS d), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+        s AS (SELECT *, {_BIT} AS bit, {_BEFORE} AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS int) AS step)),
+        r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, CAST(kept AS bigint) AS kept, CAST(removed AS bigint) AS removed, CAST(redundant AS bigint) AS redundant, CAST(unique_fails AS bigint) AS unique_fails,
+               CAST(good_lost AS bigint) AS good_lost, CAST(toxic_lost AS bigint) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley FROM r
+    """,
 }
