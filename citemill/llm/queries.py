@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from citemill.llm.best_fit import op5_best_fit
 from citemill.llm.digest_index import op6_digest_index
 from citemill.llm.filter_audit import op11_filter_audit
+from citemill.llm.hard_negatives import op12_hard_negatives
 from citemill.llm.histogram_shards import op2_histogram_shards
 from citemill.llm.license_scan import op8_license_scan
 from citemill.llm.mixing import op9_mixing_tree
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing_tree": op9_mixing_tree,
     "op10_warc_revisits": op10_warc_revisits,
     "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: kind -> pattern, the group that has a least length, and that length. A run of one class that is too short holds no
@@ -97,4 +99,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, step, CAST(kept AS bigint) AS kept, CAST(removed AS bigint) AS removed, CAST(redundant AS bigint) AS redundant, CAST(unique_fails AS bigint) AS unique_fails,
                CAST(good_lost AS bigint) AS good_lost, CAST(toxic_lost AS bigint) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley FROM r
     """,
+    "op12_hard_negatives": """
+        WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS bigint) AS score FROM a JOIN r ON a.vec_id IS DISTINCT FROM r.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS n
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(n AS int) AS rank, negative_id, positive_score, negative_score FROM n WHERE n <= 10
+    """,
 }
