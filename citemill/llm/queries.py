@@ -12,6 +12,7 @@ from citemill.llm.filter_audit import op11_filter_audit
 from citemill.llm.hard_negatives import op12_hard_negatives
 from citemill.llm.histogram_shards import op2_histogram_shards
 from citemill.llm.license_scan import op8_license_scan
+from citemill.llm.minhash_dedup import op13_minhash_near_dedup
 from citemill.llm.mixing import op9_mixing_tree
 from citemill.llm.multiset_hash import op7_multiset_hash
 from citemill.llm.secret_ledger import op3_secret_ledger
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_revisits": op10_warc_revisits,
     "op11_filter_audit": op11_filter_audit,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 #: kind -> pattern, the group that has a least length, and that length. A run of one class that is too short holds no

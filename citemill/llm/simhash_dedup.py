@@ -70,13 +70,15 @@ def repeated_rows(rows: DataFrame) -> DataFrame:
     return written(rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key").distinct(), "repeated")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows of docs that kept (doc_id, row_key) names, each once, with the columns of docs. Only rows whose row_key is in
-    repeated move to be counted once."""
+def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, row_key) names, each once, with the columns of docs. rows has doc_id and row_key of
+    all. The rows that go are named, and only those whose row_key is in repeated move to be counted once."""
     key, key_id = "_citemill_row", "_citemill_id"
-    names = bounded(written(kept.select(F.col("doc_id").alias(key_id), F.col("row_key").alias(f"{key}_kept")), "kept"))
-    same = (F.col(key) == F.col(f"{key}_kept")) & F.col("doc_id").eqNullSafe(F.col(key_id))
-    stays = docs.withColumn(key, row_key()).join(names, same, "left_semi")
+    stay = kept.select(F.col("doc_id").alias(key_id), F.col("row_key").alias(f"{key}_kept"))
+    of_rows = (F.col("row_key") == F.col(f"{key}_kept")) & F.col("doc_id").eqNullSafe(F.col(key_id))
+    gone = rows.select("doc_id", "row_key").join(stay, of_rows, "left_anti").select(F.col("doc_id").alias(key_id), F.col("row_key").alias(f"{key}_gone")).distinct()
+    same = (F.col(key) == F.col(f"{key}_gone")) & F.col("doc_id").eqNullSafe(F.col(key_id))
+    stays = docs.withColumn(key, row_key()).join(bounded(written(gone, "gone")), same, "left_anti")
     if repeated.isEmpty():
         return stays.drop(key)
     again = bounded(repeated.select(F.col("row_key").alias(key)))
@@ -171,7 +173,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     among themselves the smallest hash stays.
     """
     linked = written(link_documents(docs), "linked-rows")
-    return keep_rows(docs, linked.filter("stays").select("doc_id", "row_key").distinct(), repeated_rows(linked))
+    return keep_rows(docs, linked, linked.filter("stays").select("doc_id", "row_key").distinct(), repeated_rows(linked))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
