@@ -12,21 +12,19 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: What may stand where a value begins, besides strings and brackets: numbers and words such as true.
 _SCALAR = re.compile(r"[^\s\[\]{},:\"]+")
-#: Fixed value: how an error of parse_output begins.
-ERROR = "JSON parse error"
+#: Fixed value: the error of an output without JSON, with the parser's message and the output's first 200 characters.
+ERROR = "JSON parse error: {} | raw[:200]: {}"
+FENCE = "```"
 
 
-def json_text(text: str, mend_commas: bool = True, close: bool = True) -> str:
-    """The first JSON value in a text, read token by token: what is around it (prose, code fences) is left out, a comma
-    before a closing bracket is dropped, one that is missing between two values is put in, and brackets that are open at
-    the end are closed. Strings pass unchanged. Without brackets, the text itself.
+def json_text(text: str, start: int, mend_commas: bool, close: bool) -> tuple[str, int]:
+    """The JSON value that begins at a bracket of text, read token by token, and the place behind it: a comma before a
+    closing bracket is dropped, one that is missing between two values is put in, and brackets that are open at the end are
+    closed. Strings pass unchanged; a code fence outside of them ends the text.
 
-    mend_commas and close say whether missing commas and brackets are mended; what isn't mended is passed on as it stands.
+    mend_commas and close say whether missing commas and brackets are mended; what isn't mended stays apart as it stands.
     """
-    starts = [n for n in (text.find("{"), text.find("[")) if n >= 0]
-    if not starts:
-        return text.strip()
-    at, out, open_, value, comma = min(starts), [], [], False, False
+    at, out, open_, value, comma = start, [], [], False, False
     while at < len(text):
         c = text[at]
         if c.isspace():
@@ -50,11 +48,13 @@ def json_text(text: str, mend_commas: bool = True, close: bool = True) -> str:
             out.append(c)
             value, at = False, at + 1
             continue
-        if text.startswith("```", at):
+        if text.startswith(FENCE, at):
             break
         # A value or key begins here: first the comma before it.
         if comma or (value and mend_commas and open_):
             out.append(",")
+        elif value:
+            out.append(" ")
         comma = False
         if c in "[{":
             out.append(c)
@@ -66,7 +66,13 @@ def json_text(text: str, mend_commas: bool = True, close: bool = True) -> str:
         value, at = True, end
     if close:
         out += reversed(open_)
-    return "".join(out)
+    return "".join(out), at
+
+
+def fenced(text: str) -> list[str]:
+    """What stands inside the code fences of a text, the last of which may lack its end."""
+    parts = text.split(FENCE)[1::2]
+    return [re.sub(r"^\w+(?=\s)", "", p) for p in parts]
 
 
 def _string_end(text: str, at: int) -> int:
@@ -83,14 +89,31 @@ def repaired(text: str | None) -> str | None:
 
 
 def parsed_output(raw: str | None) -> tuple[str | None, str | None]:
-    """Compact JSON of the value in a model's output, or an error message. A value that is valid as it stands isn't mended."""
-    text, error = raw or "", ""
-    for body in (text, json_text(text, False, False), json_text(text)):
-        try:
-            return json.dumps(json.loads(body), separators=(",", ":"), ensure_ascii=False), None
-        except ValueError as e:
-            error = str(e)
-    return None, f"{ERROR}: {error} | raw[:200]: {text[:200]}"
+    """Compact JSON of the value in a model's output, or an error message. An output that is JSON stands as it is. Else the first
+    object that is valid, as it stands or mended, is taken: from the code fences, then from the text, bracket by bracket; without
+    any, the first list. What stands inside a value that isn't valid is no answer of its own."""
+    text = raw or ""
+    try:
+        return _compact(json.loads(text)), None
+    except (ValueError, RecursionError) as e:  # nested too deep for any parser
+        error = str(e)
+    for bracket in "{[":
+        for body in (*fenced(text), text):
+            at = body.find(bracket)
+            while at >= 0:
+                end = at + 1
+                for mend in (False, True):
+                    found, end = json_text(body, at, mend, mend)
+                    try:
+                        return _compact(json.loads(found)), None
+                    except (ValueError, RecursionError) as e:  # nested too deep for any parser
+                        error = str(e)
+                at = body.find(bracket, end)
+    return None, ERROR.format(error, text[:200])
+
+
+def _compact(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())

@@ -182,17 +182,25 @@ def p25_failure_rows(read):
     return merge.failure_rows(rows).select("event_id", "status", "reason", "timeout_sec")
 
 
-@query("SELECT conv_id, turn, text, text IS NULL AS lacks_text FROM conversations")
+@query(
+    """
+    SELECT conv_id, turn, text, text IS NULL AS lacks_text, CASE turn % 4 WHEN 1 THEN '[1,2]' WHEN 3 THEN '{"n":' || conv_id || '}' END AS a,
+           CASE WHEN turn % 4 = 2 THEN '[1,{"b":2}]' END AS rest, false AS failed
+    FROM conversations
+    """
+)
 def x17_x18_model_output(read):
-    """Outputs with prose, a fence and a trailing comma, with a missing comma, and cut off before the brackets are closed."""
+    """Outputs with cited numbers, braces and a fence with a trailing comma, with missing commas, cut off before the brackets are
+    closed, and with a brace in the prose before an object without a fence."""
     value = F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    fenced = F.concat(F.lit('Here it is:\n```json\n{"t": '), value, F.lit(",}\n```\nDone."))
-    uncommaed = F.concat(F.lit('{"a": [1 2]\n"t": '), value, F.lit("}"))
-    cut_off = F.concat(F.lit('{"t": '), value, F.lit(', "rest": [1, {"b": 2'))
-    raw = F.when(F.col("turn") % 3 == 0, fenced).when(F.col("turn") % 3 == 1, uncommaed).otherwise(cut_off)
+    fenced = F.concat(F.lit('As [1] and {x} say, here it is:\n```json\n{"t": '), value, F.lit(",}\n```\nDone [2]."))
+    uncommaed = F.concat(F.lit('```\n{"a": [1 2]\n"t": '), value, F.lit("}\n```"))
+    cut_off = F.concat(F.lit('Per [3]: {"t": '), value, F.lit(', "rest": [1, {"b": 2'))
+    braced = F.concat(F.lit('By {y}: {"t": '), value, F.lit(' "a": {"n": '), F.col("conv_id").cast("string"), F.lit("}} [4]"))
+    raw = F.when(F.col("turn") % 4 == 0, fenced).when(F.col("turn") % 4 == 1, uncommaed).when(F.col("turn") % 4 == 2, cut_off).otherwise(braced)
     rows = read("conversations").select("conv_id", "turn", F.col("text").isNull().alias("lacks_text"), parsing.parse_output(raw).alias("p"))
-    found = F.from_json("p.parsed", "t string")["t"]
-    return rows.select("conv_id", "turn", F.when(~F.col("lacks_text"), found).alias("text"), "lacks_text")
+    found = F.from_json("p.parsed", "t string, a string, rest string")
+    return rows.select("conv_id", "turn", F.when(~F.col("lacks_text"), found["t"]).alias("text"), "lacks_text", found["a"].alias("a"), found["rest"].alias("rest"), F.col("p.error").isNotNull().alias("failed"))
 
 
 @query("SELECT paper_id, CASE WHEN pos % 2 = 0 THEN 'a' || pos ELSE sha256(paper_id || '|' || pos || '|' || coalesce(title, '')) END AS author_id FROM papers", "papers")

@@ -8,8 +8,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from citemill.operators.keyed_table import KeyedTable
 from citemill.operators.merge import ALERT_AFTER, RETRY_SECONDS, TIMEOUT_STEP
 
 #: Seconds after which a cached value, or a queued paper that nothing happens to, is forgotten.
@@ -142,18 +143,9 @@ def cache_reads(requests: DataFrame, seconds: int = EXPIRY_SECONDS, late: str =
     return rows.groupBy("key").transformWithStateInPandas(ReadCache(seconds), "key string, number long, hit boolean, value string", "append", "eventTime")
 
 
-def upsert_batches(results: DataFrame, path: str, checkpoint: str, key: str = "paper_id", order: str = "ts"):
-    """A query that keeps the last row of each key: every batch is merged with the current version into a new one."""
-    spark = results.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(order)).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return results.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_batches(results: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """A query that keeps the last row of each key: every batch adds a run to the table, once, also when it is repeated."""
+    return results.writeStream.foreachBatch(table.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live(cache: DataFrame, now: Column | None = None) -> DataFrame:

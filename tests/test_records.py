@@ -138,6 +138,15 @@ def test_json_repair_and_output_parsing(spark):
     good, error = parsing.parsed_output('text {"a": "x"\n "b": [1]} tail')
     assert json.loads(good) == {"a": "x", "b": [1]} and error is None
     assert parsing.parsed_output("{bad")[1].startswith("JSON parse error")
+    # Brackets of prose before the value, in a fence or without one; numbers without a comma; a list only where no object is.
+    assert parsing.parsed_output('Per [1], here:\n```json\n{"a": 1}\n```')[0] == '{"a":1}'
+    assert parsing.parsed_output('```\n{"a": [1 2]}\n```')[0] == '{"a":[1,2]}'
+    assert parsing.parsed_output('As {x} said in [2]: {"a": 1}')[0] == '{"a":1}'
+    assert parsing.parsed_output('See {"b": 2} or\n```json\n{"a": true "c": null,\n```')[0] == '{"a":true,"c":null}'
+    assert parsing.parsed_output("See [1 2] there")[0] == "[1,2]" and parsing.parsed_output("[1]")[0] == "[1]"
+    assert parsing.parsed_output('{"a": {"b": 1}, ...: }')[0] is None
+    assert parsing.parsed_output('{"a": "```\nx"')[0] is None and parsing.parsed_output('so: {"a": "```x```"}')[0] == '{"a":"```x```"}'
+    assert parsing.parsed_output("[" * 20_000 + "{" * 20_000)[0] is None
     assert one(spark, parsing.parse_output(F.lit('{"a": 1}')).alias("p")).p.parsed == '{"a":1}'
     title, abstract, sections = parsing.document_of("<title>T</title><h2>Abstract</h2><p>Short.</p><h2>1. Intro</h2><p>One &amp; two</p><script>x</script><h3>2.1 Sub</h3>three")
     assert (title, abstract, sections) == ("T", "Short.", [("Intro", "One & two"), ("Sub", "three")])

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from citemill.operators.keyed_table import KeyedTable
 from citemill.streaming import logs, queue
 from citemill.streaming.state import run_available
 
@@ -119,10 +120,9 @@ def test_windowed_counts_and_upserts(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame(data[part::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = queue.upsert_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "out" / "v1"))
-    assert {(r.paper_id, r.v) for r in last.collect()} == {("a", 9), ("b", 5)}
+    table = KeyedTable(spark, str(tmp_path / "out"), schema, "paper_id", "ts", buckets=4)
+    queue.upsert_batches(stream, table, str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r.paper_id, r.v) for r in table.read().collect()} == {("a", 9), ("b", 5)}
     w = logs.counts(stream, "paper_id").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert sum(r.n for r in spark.table("counted").collect()) == 11
