@@ -27,7 +27,6 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -38,7 +37,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 LOT_ROWS = 20_000
 #: Words whose ids a worker remembers, about 200 bytes each; then it starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 300_000
 #: Words that are encoded in one call.
 TOGETHER = 2000
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
@@ -180,6 +179,8 @@ def best_fit(lengths: list[int], capacity: int) -> Iterator[tuple[int, int]]:
 PIECES = "piece int, start long, length long, ids_crc32 long"
 #: The number of a piece's row while it is packed.
 ROW = "_citemill_row"
+#: The column of the lot, and the most partitions into which lots are dealt; with more lots a task packs several, one by one.
+LOT, MOST_PARTS = "_citemill_lot", 4096
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,23 +208,39 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
 
+def _packed(batches: list[pa.RecordBatch], lot: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """The batches of a lot with sequence_id and offset."""
+    first = (lot + 1) << 36
+    placed = best_fit([n for b in batches for n in b.column("length").to_pylist()], capacity)
+    for batch in batches:
+        at = np.array([next(placed) for _ in range(batch.num_rows)], dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0] + first), pa.array(at[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, lot_rows: int = LOT_ROWS) -> DataFrame:
     """cut with sequence_id and offset. Pieces of the full capacity stay where they are."""
     # Pieces get numbers when they are written, so that repeated rows are dealt out like others.
     cut = written(cut.withColumn(ROW, F.monotonically_increasing_id()), "pieces")
     open_ = cut.filter(F.col("length") < capacity)
     lots = max(1, -(-open_.count() // lot_rows))
-    dealt = open_.repartition(lots, F.xxhash64("doc_id", "piece", "ids_crc32", ROW)).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32", ROW)
+    lot = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", ROW), F.lit(lots))
+    parts, names = min(lots, MOST_PARTS), cut.columns
+    dealt = open_.withColumn(LOT, lot).repartitionById(parts, F.pmod(F.col(LOT), F.lit(parts)).cast("int"))
+    dealt = dealt.sortWithinPartitions(LOT, F.desc("length"), "doc_id", "piece", "ids_crc32", ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, lengths = (TaskContext.get().partitionId() + 1) << 36, []
-        waiting = list(batches)  # one lot: about lot_rows rows of numbers
-        for batch in waiting:
-            lengths += batch.column("length").to_pylist()
-        placed = best_fit(lengths, capacity)
-        for batch in waiting:
-            at = np.array([next(placed) for _ in range(batch.num_rows)], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0] + first), pa.array(at[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
+        number, waiting = -1, []  # the batches of one lot: about lot_rows rows of numbers
+        for batch in batches:
+            lots_there = batch.column(LOT).to_numpy()
+            starts = [0, *(np.flatnonzero(lots_there[1:] != lots_there[:-1]) + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                if lots_there[start] != number:
+                    yield from _packed(waiting, number, capacity)
+                    number, waiting = int(lots_there[start]), []
+                waiting.append(batch.slice(start, end - start).select(names))
+        yield from _packed(waiting, number, capacity)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     packed = dealt.mapInArrow(run, f"{kinds}, sequence_id long, offset long")

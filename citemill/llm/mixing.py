@@ -36,6 +36,8 @@ SOURCE_BLOCKS = 1 << 10
 RANGE_ROWS = 2000
 #: Rows of a drawn shard that one task sorts, about.
 LOT_ROWS = 20_000
+#: The most partitions into which the lots of all shards are dealt; with more lots a task writes several.
+MOST_PARTS = 4096
 #: A row's key is hot when more than RANGE_ROWS and 1/HOT_PARTS of all rows have it; so there are HOT_PARTS hot keys at most.
 HOT_PARTS = 1000
 #: Ranges that the rows of a hot key are dealt to.
@@ -199,7 +201,7 @@ def drawn(docs: DataFrame, shards: int = OUTPUT_SHARDS, id_col: str = "doc_id",
     # A lot is a stretch of a shard's positions, so lots sorted one by one are the shard in its order.
     lots = max(1, -(-docs.count() // (shards * LOT_ROWS)))
     lot = F.floor((F.shiftright(own("position"), 32) + (1 << 31)) * lots / float(1 << 32)).cast("int")
-    dealt = copies.withColumn(f"{OWN}lot", lot).repartition(shards * lots, f"{OWN}shard", f"{OWN}lot")
+    dealt = copies.withColumn(f"{OWN}lot", lot).repartition(min(shards * lots, MOST_PARTS), f"{OWN}shard", f"{OWN}lot")
     return dealt.sortWithinPartitions(f"{OWN}shard", f"{OWN}position").select(*docs.columns, f"{OWN}shard")
 
 

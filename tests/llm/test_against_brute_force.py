@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from citemill.llm import queries
+from citemill.llm import best_fit, queries
 
 
 @pytest.fixture(scope="module")
@@ -230,3 +231,26 @@ def test_op10(spark, sf_dir, run):
             assert found[r["record_id"]].headers == {"content-type": "text/html", "content-length": last["headers"]["Content-Length"], "etag": r["etag"], "date": r["headers"]["Date"], "cache-control": "max-age=600"}
     assert seen["resolved"] and seen["validator-mismatch"]
     assert len(run("op10_warc_revisits")) == pages.count()
+
+
+def test_packing_with_more_lots_than_partitions(spark, monkeypatch):
+    """Lots share tasks, and each is packed as on its own."""
+    r = random.Random(8)
+    rows = [(i, 0, 0, r.choice((4096, r.randrange(1, 4096), r.randrange(1, 200))), 0) for i in range(900)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(best_fit, "MOST_PARTS", 3)
+    dealt = best_fit.pack(cut, lot_rows=40)
+    assert dealt.rdd.getNumPartitions() <= 3 + cut.rdd.getNumPartitions()
+    packed = dealt.collect()
+    assert sorted((x.doc_id, x.length) for x in packed) == sorted((i, n) for i, _, _, n, _ in rows)
+    bins = {}
+    for x in packed:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for places in bins.values():
+        ends = 0
+        for offset, length in sorted(places):
+            assert offset == ends
+            ends += length
+        assert ends <= 4096
+    # Best-fit decreasing of a whole needs no more bins than of its lots, and each lot leaves one open bin or so.
+    assert len(bins) <= sum(n for *_, n, _ in rows) / 4096 * 1.2 + 23
