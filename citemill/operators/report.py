@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citemill.operators.quantiles import exact_percentiles
+
 
 def totals(papers: DataFrame, authors: DataFrame, citations: DataFrame) -> DataFrame:
     """papers, authors (distinct names) and citations, in one job."""
@@ -27,13 +29,13 @@ def count_stats(papers: DataFrame, column: str = "citation_count") -> DataFrame:
 
 
 def numeric_stats(rows: DataFrame, *columns: str) -> DataFrame:
-    """column, count, mean, std (of the population), min, p25, median, p75, max of several columns in one pass."""
+    """column, count, mean, std (of the population), min, p25, median, p75, max of several columns; moments in one pass, exact
+    quantiles by exact_percentiles()."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")
-    p = lambda q: F.percentile("x", F.lit(q))
-    return rows.select(each).select("s.*").groupBy("column").agg(
-        F.count("x").alias("count"), F.round(F.avg("x"), 2).alias("mean"), F.round(F.stddev_pop("x"), 2).alias("std"), F.min("x").alias("min"),
-        p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), F.max("x").alias("max"),
-    )
+    moments = rows.select(each).select("s.*").groupBy("column").agg(F.count("x").alias("count"), F.round(F.avg("x"), 2).alias("mean"), F.round(F.stddev_pop("x"), 2).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    found = exact_percentiles(rows, columns, (0.25, 0.5, 0.75))
+    quantiles = rows.sparkSession.createDataFrame([(c, *(found[c] or (None,) * 3)) for c in columns], "column string, p25 double, median double, p75 double")
+    return moments.join(F.broadcast(quantiles), "column").select("column", "count", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def histograms(rows: DataFrame, *dimensions: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.operators.graph import components
+from citemill.operators.quantiles import exact_percentiles
 from citemill.sources.storage import numbered, numbered_in
 
 TIERS = ["low", "medium", "high", "very_high", "landmark"]
@@ -25,8 +26,7 @@ def clusters(samples: DataFrame) -> DataFrame:
 
 def tier_bounds(samples: DataFrame, column: str = "citation_count") -> list[float]:
     """The quantiles 0.2, 0.4, 0.6, 0.8 by linear interpolation; empty without values."""
-    row = samples.filter(F.col(column).isNotNull()).agg(F.percentile(column, F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("q")).first()
-    return list(row["q"] or [])
+    return exact_percentiles(samples, [column], (0.2, 0.4, 0.6, 0.8))[column] or []
 
 
 def tier_column(value: Column, bounds: list[float]) -> Column:
