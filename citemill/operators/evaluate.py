@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.metrics import composite, cosine, mean_of, reciprocal_rank, set_f1
+from citemill.sources.storage import written
 
 #: Keys and levels of a valid answer.
 TOP_KEYS = ["target_analysis", "comparison", "selected_predecessor_id", "secondary_influences"]
@@ -87,12 +92,57 @@ def text_similarity(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.withColumn("similarity", cosine(F.col(a), F.col(b)))
 
 
-def list_similarity(truth: DataFrame, predicted: DataFrame, key: str = "sample") -> DataFrame:
+def list_similarity(truth: DataFrame, predicted: DataFrame, key: str = "sample", block: int = 2048) -> DataFrame:
     """key and similarity: for each vector of truth the best cosine among the predicted ones of its key, averaged. Both
-    have columns key and vector; keys with only one side have similarity 0."""
-    pairs = truth.select(key, F.monotonically_increasing_id().alias("t"), F.col("vector").alias("a")).join(predicted.select(key, F.col("vector").alias("b")), key, "left")
-    best = pairs.groupBy(key, "t").agg(F.max(F.coalesce(F.when(F.col("b").isNotNull(), cosine(F.col("a"), F.col("b"))), F.lit(0.0))).alias("best"))
-    return best.groupBy(key).agg(F.avg("best").alias("similarity"))
+    have columns key and vector; keys with only one side have similarity 0, keys without truth aren't in the result.
+
+    The vectors of a key are compared as matrices, block by block, and rows stay in number those of the vectors. A key's truth is
+    dealt out in lots of about block vectors, so that a large key is many tasks, each with the key's predictions passing by."""
+    numbered = written(truth.select(key, "vector", F.monotonically_increasing_id().alias("_at")), "truth-vectors")
+    lots = numbered.groupBy(key).agg(F.ceil(F.count("*") / block).alias("_lots"))
+    of_truth = numbered.join(lots, key).select(key, F.pmod(F.xxhash64("_at"), F.col("_lots")).alias("_lot"), F.lit(0).alias("_kind"), "_at", "vector")
+    of_predicted = predicted.select(key, "vector").join(lots, key).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1)).alias("_lot"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_at"), "vector")
+    together = of_truth.unionByName(of_predicted).withColumnRenamed(key, "_key")
+    dealt = together.repartition("_key", "_lot").sortWithinPartitions("_key", "_lot", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vectors, best = None, [], None
+
+        def done() -> pa.RecordBatch:
+            found = np.zeros(len(vectors)) if best is None else best
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), type=batch.schema.field("_key").type), pa.array(found)], names=["_key", "best"])
+
+        for batch in batches:
+            keys, lots_, kinds = (batch.column(i).to_pylist() for i in range(3))
+            starts = [0, *(i for i in range(1, len(keys)) if (keys[i], lots_[i], kinds[i]) != (keys[i - 1], lots_[i - 1], kinds[i - 1])), len(keys)]
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                if now != (keys[start], lots_[start]):
+                    if vectors:
+                        yield done()
+                    now, vectors, best, ones = (keys[start], lots_[start]), [], None, None
+                part = batch.column("vector").slice(start, end - start).to_pylist()
+                if kinds[start] == 0:
+                    vectors += part
+                    continue
+                ones = _unit(vectors) if ones is None else ones
+                for at in range(0, len(part), block):
+                    top = (ones @ _unit(part[at : at + block], ones.shape[1]).T).max(axis=1)
+                    best = top if best is None else np.maximum(best, top)
+        if vectors:
+            yield done()
+
+    kind = truth.schema[key].dataType.simpleString()
+    return dealt.mapInArrow(run, f"_key {kind}, best double").groupBy(F.col("_key").alias(key)).agg(F.avg("best").alias("similarity"))
+
+
+def _unit(vectors: list[list[float] | None], dim: int | None = None) -> np.ndarray:
+    """Rows of length one; null, empty and zero vectors, and those of another length, are zeros."""
+    dim = max((len(v or ()) for v in vectors), default=0) if dim is None else dim
+    rows = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in vectors], dtype=np.float64).reshape(len(vectors), dim)
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def select_model(reports: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Rounds of iterative metrics are cut with written tables, so that plans stay smal
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,31 +31,54 @@ def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.withColumn("density", F.when(n > 1, F.col("num_edges") / (n * (n - 1))).otherwise(0.0))
 
 
+#: A vertex is a hub when its out-edges are more than one part in HUB_SHARE of a partition's; so there are at most HUB_SHARE hubs
+#: for each partition.
+HUB_SHARE = 8
+
+
+def dealt_edges(edges: DataFrame, out: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, out) in parts partitions by src, and those of hubs by src and dst: a hub's edges are spread over all
+    partitions. out: src and its number of edges, written."""
+    total = out.agg(F.coalesce(F.sum("out"), F.lit(0))).first()[0]
+    least = max(1000, total // (parts * HUB_SHARE))
+    hubs = F.broadcast(out.filter(F.col("out") > least))  # HUB_SHARE * parts rows at most
+    few = edges.join(hubs.select("src"), "src", "left_anti").join(out, "src").select("src", "dst", "out").repartition(parts, "src")
+    return few, edges.join(hubs, "src").select("src", "dst", "out").repartition(parts, "src", "dst")
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False) -> DataFrame:
     """id, pagerank. Starts uniform; the mass of vertices without out-edges goes to all alike; stops when the absolute
     changes sum to less than n * tolerance, or, with fixed, after exactly the given rounds.
 
-    edges are distinct. They are dealt out by src once and kept so; each round joins the ranks to them and sums by dst
-    with partial sums, so that a round moves a row per vertex and a partial sum per vertex and task, never the edges.
-    What an executor loses of the kept edges is read again from the written table.
+    edges are distinct. They are dealt out once, and kept so, those of hubs over all partitions. Each round joins the ranks to them,
+    hubs' ranks by broadcast, and sums by dst with partial sums, so that a round moves a row per vertex and a partial sum per
+    vertex and task, never the edges. What an executor loses of the kept edges is read again from the written tables.
     """
     n = vertices.count()
     if not n:
         return vertices.withColumn("pagerank", F.lit(0.0))
     out = written(edges.groupBy("src").agg(F.count("*").alias("out")), "out-degree")
     parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = written(edges.join(out, "src").select("src", "dst", "out"), "links").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks = written(vertices.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select("id", F.lit(1.0 / n).alias("pagerank"), F.col("out").isNull().alias("dangling")), "ranks")
-    for _ in range(rounds):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0))).first()[0]
-        sent = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("out")).alias("sent"))
-        value = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("sent", F.lit(0.0))
-        step = written(ranks.join(sent, F.col("id") == F.col("dst"), "left").select("id", value.alias("pagerank"), "dangling", F.abs(value - F.col("pagerank")).alias("change")), "ranks")
-        discard(ranks)
-        ranks = step.drop("change")
-        if not fixed and step.agg(F.sum("change")).first()[0] < n * tolerance:
-            break
-    links.unpersist()
+    few, of_hubs = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in dealt_edges(written(edges.select("src", "dst"), "links"), out, parts))
+    try:
+        hubs = of_hubs.select(F.col("src").alias("id")).distinct()
+        hub_ids = F.broadcast(written(hubs, "hubs"))
+        ranks = written(vertices.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select("id", F.lit(1.0 / n).alias("pagerank"), F.col("out").isNull().alias("dangling")), "ranks")
+        for _ in range(rounds):
+            loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0))).first()[0]
+            share = F.col("pagerank") / F.col("out")
+            of_few = few.join(ranks, F.col("src") == F.col("id")).select("dst", share.alias("share"))
+            spread = of_hubs.join(F.broadcast(ranks.join(hub_ids, "id", "left_semi")), F.col("src") == F.col("id")).select("dst", share.alias("share"))
+            sent = of_few.unionByName(spread).groupBy("dst").agg(F.sum("share").alias("sent"))
+            value = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("sent", F.lit(0.0))
+            step = written(ranks.join(sent, F.col("id") == F.col("dst"), "left").select("id", value.alias("pagerank"), "dangling", F.abs(value - F.col("pagerank")).alias("change")), "ranks")
+            discard(ranks)
+            ranks = step.drop("change")
+            if not fixed and step.agg(F.sum("change")).first()[0] < n * tolerance:
+                break
+    finally:
+        few.unpersist()
+        of_hubs.unpersist()
     return ranks.select("id", "pagerank")
 
 
@@ -106,8 +131,9 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 BLOCK_PAIRS = 50_000_000
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """id, betweenness: Brandes' sums over all sources, divided by (n - 1)(n - 2) for n > 2.
+def betweenness(vertices: DataFrame, edges: DataFrame, block_pairs: int = BLOCK_PAIRS, sources: int | None = None) -> DataFrame:
+    """id, betweenness: Brandes' sums over all sources, divided by (n - 1)(n - 2) for n > 2; with sources, over so many of them (those
+    with the smallest hashes), in proportion.
 
     Sources are taken in blocks. For all sources of a block at once, the frontier (source, vertex, paths) moves over the
     edges level by level, one join and sum each; then what paths add to a vertex is summed backwards over the same
@@ -116,26 +142,109 @@ def betweenness(vertices: DataFrame, edges: DataFrame, block_pairs: int = BLOCK_
     n = vertices.count()
     total = None
     step = written(edges.select("src", "dst").distinct().filter("src <> dst"), "steps")
-    blocks = max(1, -(-n * n // block_pairs))
+    taken = n if sources is None else min(n, sources)
+    starts = vertices if taken == n else written(vertices.orderBy(F.xxhash64("id"), "id").limit(taken), "sources")
+    # A source without out-edges reaches nothing.
+    starts = starts.join(step.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    blocks = max(1, -(-taken * n // block_pairs))
     for block in range(blocks):
-        levels = [written(vertices.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(1.0).alias("paths")), "frontier")]
+        levels = [written(starts.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(1.0).alias("paths")), "frontier")]
         found = levels[0].select("source", "vertex")
         while not levels[-1].isEmpty():
             moved = levels[-1].join(step, F.col("vertex") == F.col("src")).groupBy("source", F.col("dst").alias("vertex")).agg(F.sum("paths").alias("paths"))
             levels.append(written(moved.join(found, ["source", "vertex"], "left_anti"), "frontier"))
             found = found.unionByName(levels[-1].select("source", "vertex"))
-        later = None
-        for level in reversed(levels[1:-1]):
+        later, shares = None, []
+        for before, level in reversed(list(zip(levels, levels[1:-1]))):
             share = level.withColumn("sum", F.lit(0.0)) if later is None else level.join(later, ["source", "vertex"], "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
-            share = written(share, "shares")
-            part = share.groupBy(F.col("vertex").alias("id")).agg(F.sum("sum").alias("part"))
+            shares.append(written(share, "shares"))
+            part = shares[-1].groupBy(F.col("vertex").alias("id")).agg(F.sum("sum").alias("part"))
             total = part if total is None else total.unionByName(part)
-            back = share.join(step, F.col("vertex") == F.col("dst")).select("source", F.col("src").alias("vertex"), ((1 + F.col("sum")) / F.col("paths")).alias("sent"))
-            before = levels[levels.index(level) - 1]
+            back = shares[-1].join(step, F.col("vertex") == F.col("dst")).select("source", F.col("src").alias("vertex"), ((1 + F.col("sum")) / F.col("paths")).alias("sent"))
             later = back.groupBy("source", "vertex").agg(F.sum("sent").alias("sent")).join(before, ["source", "vertex"]).select("source", "vertex", (F.col("sent") * F.col("paths")).alias("sum"))
         if total is not None:
             total = written(total.groupBy("id").agg(F.sum("part").alias("part")), "betweenness")
-        discard(*levels)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        discard(*levels, *shares)
+    scale = n / (max(1, taken) * (n - 1) * (n - 2)) if n > 2 else 1.0
     parts = vertices.select("id", F.lit(0.0).alias("part")).unionByName(total) if total is not None else vertices.select("id", F.lit(0.0).alias("part"))
     return parts.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
+
+
+def sources_for(n: int, error: float, failure: float) -> int:
+    """Sampled sources for which, with a chance of 1 - failure, no vertex is off by more than error. A source adds at most n - 2 pairs
+    to a vertex, so the n / (n - 1)-fold mean of numbers between 0 and 1 is estimated; by Hoeffding's bound for 2 n tails."""
+    return ceil(log(2 * max(1, n) / failure) / (2 * error**2) * (n / max(1, n - 1)) ** 2)
+
+
+def sampled_betweenness(vertices: DataFrame, edges: DataFrame, error: float = 0.05, failure: float = 0.05) -> DataFrame:
+    """betweenness() within error of the exact values, for a number of sources that hardly grows with the graph."""
+    return betweenness(vertices, edges, sources=sources_for(vertices.count(), error, failure))
+
+
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, vertex) for all vertices that can be reached from the ids of starts over one edge or more, at any depth and over
+    cycles. Each round moves only the pairs that the last one found."""
+    step = written(edges.select("src", "dst").distinct(), "steps")
+    new = written(starts.select(F.col("id").alias("source")).distinct().join(step, F.col("source") == F.col("src")).select("source", F.col("dst").alias("vertex")), "reached")
+    found = new
+    while not new.isEmpty():
+        moved = new.join(step, F.col("vertex") == F.col("src")).select("source", F.col("dst").alias("vertex")).distinct()
+        new = written(moved.join(found, ["source", "vertex"], "left_anti"), "reached")
+        found = found.unionByName(new)
+    return found
+
+
+def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id of those that reach each other.
+
+    Vertices without in- or out-edges are trimmed as components of their own. Of the rest, each round colors a vertex with the smallest
+    vertex that reaches it; what reaches the vertex of its color over its own color makes the color's component, and goes.
+    Rounds follow the longest path of what is left.
+    """
+    left, placed = written(edges.filter("src <> dst").select("src", "dst").distinct(), "strong-edges"), None
+    while not left.isEmpty():
+        # Trim: a vertex on a cycle has edges both ways.
+        while True:
+            both = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
+            both = written(both, "strong-vertices")
+            kept = left.join(both.select(F.col("id").alias("src")), "src", "left_semi").join(both.select(F.col("id").alias("dst")), "dst", "left_semi")
+            kept = written(kept.select("src", "dst"), "strong-edges")
+            same = kept.count() == left.count()
+            discard(left)
+            left = kept
+            if same:
+                break
+        color = _smallest_to_reach(both.select("id", F.col("id").alias("color")), left)
+        inside = left.join(color.select(F.col("id").alias("src"), F.col("color").alias("of_src")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("of_dst")), "dst").filter("of_src = of_dst")
+        inside = written(inside.select("src", "dst"), "strong-inside")
+        back = _spread(color.filter("id = color").select("id", "color"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = written(back.select("id", F.col("color").alias("component")), "strong-found")
+        placed = found if placed is None else placed.unionByName(found)
+        gone = found.select("id")
+        older, left = left, written(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "strong-edges")
+        discard(older, inside)
+    if placed is None:
+        return vertices.select("id", F.col("id").alias("component"))
+    return vertices.join(placed, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _smallest_to_reach(colors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, color) with the smallest color of those that reach a vertex, itself included. Only changed colors move."""
+    colors = written(colors, "colors")
+    new = colors
+    while not new.isEmpty():
+        sent = new.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("sent"))
+        step = written(colors.join(sent, "id", "left").select("id", F.least("color", "sent").alias("color"), F.coalesce(F.col("sent") < F.col("color"), F.lit(False)).alias("changed")), "colors")
+        discard(colors)
+        colors, new = step.select("id", "color"), step.filter("changed").select("id", "color")
+    return colors
+
+
+def _spread(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, color) of starts and all that edges reach from them; every vertex is reached by one color only."""
+    new = found = written(starts, "spread")
+    while not new.isEmpty():
+        moved = new.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "color").distinct()
+        new = written(moved.join(found, "id", "left_anti"), "spread")
+        found = found.unionByName(new)
+    return found

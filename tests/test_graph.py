@@ -6,6 +6,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from citemill.operators import graph, splits, traverse
 
@@ -156,3 +157,54 @@ def test_tier_bins_collapse(spark):
     assert tiers([1.0, 2.0, 3.0, 4.0]) == ["low", "low", "medium", "high", "very_high", "landmark"]
     assert tiers([2.0, 2.0, 2.0, 4.0]) == ["low", "low", "low", "very_high", "very_high", "landmark"]
     assert tiers([]) == ["unknown"] * 6
+
+
+def test_hub_edges_are_dealt_out(spark):
+    """A star of a million leaves among ordinary edges: no partition holds twice its share."""
+    star = spark.range(1_000_000).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"))
+    others = spark.range(200_000).select(F.col("id").cast("string").alias("src"), F.lit("hub").alias("dst"))
+    edges = graph.written(star.union(others), "test")
+    out = graph.written(edges.groupBy("src").agg(F.count("*").alias("out")), "test")
+    few, of_hubs = graph.dealt_edges(edges, out, 8)
+    sizes = [r["count"] for part in (few, of_hubs) for r in part.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_200_000 and of_hubs.count() == 1_000_000
+    assert max(r["count"] for r in of_hubs.groupBy(F.spark_partition_id()).count().collect()) < 2 * 1_000_000 / 8
+
+
+def test_pagerank_of_a_hub(spark, rows):
+    ids = ["hub", *(f"v{i}" for i in range(3000))]
+    links = [("hub", i) for i in ids[1:]] + [(i, "hub") for i in ids[1:2000]]
+    vertices, edges = rows("id string", *[(i,) for i in ids]), rows("src string, dst string", *links)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(5):
+        loose = sum(rank[i] for i in ids[2000:])
+        new = {i: 0.15 / len(ids) + 0.85 * loose / len(ids) + 0.85 * rank["hub"] / 3000 for i in ids[1:]}
+        new["hub"] = 0.15 / len(ids) + 0.85 * loose / len(ids) + 0.85 * sum(rank[i] for i in ids[1:2000])
+        rank = new
+    found = {r.id: r.pagerank for r in graph.pagerank(vertices, edges, rounds=5, fixed=True).collect()}
+    assert found == pytest.approx(rank, abs=1e-12)
+
+
+def test_sampled_betweenness_keeps_its_bound(rows):
+    r = random.Random(5)
+    pairs = sorted({(f"{a:03}", f"{b:03}") for a, b in ((r.randrange(300), int(r.paretovariate(0.6)) % 300) for _ in range(900)) if a != b})
+    vertices, edges, _ = frames(rows, pairs)
+    n = vertices.count()
+    assert graph.sources_for(n, 0.15, 0.1) < n
+    exact = {x.id: x.betweenness for x in graph.betweenness(vertices, edges).collect()}
+    found = {x.id: x.betweenness for x in graph.sampled_betweenness(vertices, edges, 0.15, 0.1).collect()}
+    assert found.keys() == exact.keys() and found != exact and max(abs(found[i] - exact[i]) for i in exact) <= 0.15
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_reachability_and_strong_components(name, rows):
+    vertices, edges, ids = frames(rows, GRAPHS[name], ["alone"])
+    reach = {i: {d for s, d in GRAPHS[name] if s == i} for i in ids}
+    for k in ids:
+        for i in ids:
+            if k in reach[i]:
+                reach[i] |= reach[k]
+    found = [(r.source, r.vertex) for r in graph.reachable(vertices, edges).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(i, v) for i in ids for v in reach[i]}
+    wanted = {i: min([i, *(v for v in reach[i] if i in reach[v])]) for i in ids}
+    assert {r.id: r.component for r in graph.strong_components(vertices, edges).collect()} == wanted

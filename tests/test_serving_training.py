@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,52 @@ def test_paged_source(spark):
     assert read.option("offsetCap", "9000").option("yearFrom", "2019").load().count() == 12
 
 
+def test_paged_source_takes_filters_on_the_year(spark):
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("paged").schema("id int, year int").option("page", "tests.test_serving_training:listing").option("pageRows", "100").option("offsetCap", "300").option("pushYears", "true")
+        found = read.load().filter("year >= 2005 and year < 2010 and id > 20")
+        after_scan = [line for line in found._jdf.queryExecution().toString().split("Physical Plan")[1].splitlines() if "Filter" in line]
+        assert not any("2005" in line or "2010" in line for line in after_scan) and any("id" in line for line in after_scan)
+        assert sorted(r.id for r in found.collect()) == [n for n in range(21, 250) if 2005 <= 2000 + n % 20 < 2010]
+        assert read.load().filter("year = 2003 and year <= 2001").count() == 0
+        assert read.option("yearFrom", "2004").load().filter("year > 2001").count() == 198
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def stored_length():
+    return int(Path("/tmp/citemill-listing-length").read_text())
+
+
+def test_paged_stream_goes_on_at_its_offset(spark, tmp_path):
+    spark.dataSource.register(PagedSource)
+    stream = spark.readStream.format("paged").schema("id int, year int").option("page", "tests.test_serving_training:listing").option("size", "tests.test_serving_training:stored_length").option("pageRows", "40").load()
+    for length in (90, 90, 250):
+        Path("/tmp/citemill-listing-length").write_text(str(length))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(length))
+
+
+def test_best_cosines_by_blocks(rows):
+    r = random.Random(2)
+    vector = lambda: [r.gauss(0, 1) for _ in range(3)]
+    truth = [(r.randrange(4), vector()) for _ in range(40)] + [(9, vector()), (1, [0.0] * 3), (2, None)]
+    predicted = [(r.randrange(4), vector()) for _ in range(50)] + [(8, vector()), (1, None)]
+
+    def cos(a, b):
+        n = (sum(x * x for x in a or []) * sum(x * x for x in b or [])) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    wanted = {}
+    for k, a in truth:
+        wanted.setdefault(k, []).append(max((cos(a, b) for j, b in predicted if j == k), default=0.0))
+    schema = "sample int, vector array<double>"
+    found = evaluate.list_similarity(rows(schema, *truth), rows(schema, *predicted), block=3)
+    assert {x["sample"]: x.similarity for x in found.collect()} == pytest.approx({k: sum(v) / len(v) for k, v in wanted.items()})
+
+
 def test_lookup_by_either_id(rows):
     papers = rows("paper_id string, arxiv_id string, title string", ("a", "1706.1", "x"), ("b", None, "y"))
     log = rows(LOG, ("a", "references", None, None, 0))
