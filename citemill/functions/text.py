@@ -104,6 +104,11 @@ def log_line(line: Column) -> Column:
     return F.struct(part(1).alias("ts"), part(2).alias("source"), part(3).alias("level"), F.coalesce(part(4), line).alias("message"))
 
 
+def parsed_time(value: Column, now: Column) -> Column:
+    """A time in text; what is none, or missing, is now."""
+    return F.coalesce(F.try_to_timestamp(value), now)
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("int")
 

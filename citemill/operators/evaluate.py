@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.metrics import composite, cosine, mean_of, reciprocal_rank, set_f1
+from citemill.functions.parsing import parse_output
 from citemill.sources.storage import written
 
 #: Keys and levels of a valid answer.
@@ -145,6 +146,68 @@ def _unit(vectors: list[list[float] | None], dim: int | None = None) -> np.ndarr
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+#: The fields that a judge scores, and the axes of each score.
+JUDGED_FIELDS = ["selection_reasoning", "what_was_improved", "how_it_was_improved", "why_it_matters", "problem_solved_from_predecessor"]
+JUDGE_AXES = ["factual_grounding", "logical_coherence", "domain_consistency", "specificity"]
+#: The numbers of a report, with their names in older reports. Numbers that neither has are 0.
+REPORT_FIELDS = {
+    "strict": ("predecessor_strict", "predecessor_accuracy"),
+    "soft": ("predecessor_soft", "predecessor_accuracy"),
+    "mrr": ("mrr", "predecessor_mrr"),
+    "level": ("breakthrough", "breakthrough_level_accuracy"),
+    "f1": ("secondary_f1", "secondary_influences_f1_mean"),
+}
+
+
+def judge_scores(responses: DataFrame, column: str = "response") -> DataFrame:
+    """responses with score, reasoning and an axis each of JUDGE_AXES, from a judge's text: -1 where a number is missing, and also
+    in all of them where the text holds no object or a number isn't one; then the reasoning says why."""
+    parsed = responses.withColumn("_p", parse_output(F.col(column)))
+    value = F.try_parse_json("_p.parsed")
+    numbers = {"score": "overall", **{a: a for a in JUDGE_AXES}}
+    given = {n: F.try_variant_get(value, f"$.{key}", "variant") for n, key in numbers.items()}
+    as_number = {n: F.try_variant_get(value, f"$.{key}", "double") for n, key in numbers.items()}
+    is_object = F.startswith("_p.parsed", F.lit("{"))
+    broken = F.lit(False)
+    for n in numbers:
+        broken = broken | (given[n].isNotNull() & as_number[n].isNull())
+    failed = ~F.coalesce(is_object, F.lit(False)) | F.coalesce(broken, F.lit(False))
+    reason = F.when(failed, F.concat(F.lit("Judge call failed: "), F.coalesce("_p.error", F.lit("not an object of numbers")))).otherwise(F.coalesce(F.try_variant_get(value, "$.reasoning", "string"), F.col(column)))
+    scores = {n: F.when(failed, -1.0).otherwise(F.coalesce(as_number[n], F.lit(-1.0))) for n in numbers}
+    return parsed.withColumns(scores | {"reasoning": reason}).drop("_p")
+
+
+def judged_samples(responses: DataFrame) -> DataFrame:
+    """responses (sample_id, field, response) -> a row for each sample: the score of each of JUDGED_FIELDS (-1 if it has none or
+    failed) and judge, the mean of all five, rounded. Of several responses for a field the highest score counts."""
+    rows = judge_scores(responses).groupBy("sample_id").pivot("field", JUDGED_FIELDS).agg(F.max("score"))
+    return rows.select("sample_id", *[F.coalesce(f, F.lit(-1.0)).alias(f) for f in JUDGED_FIELDS], judge_overall([F.col(f) for f in JUDGED_FIELDS]).alias("judge"))
+
+
+def normalized_reports(reports: DataFrame, column: str = "report") -> DataFrame:
+    """reports with the numbers of a report in JSON beside it, in place of the text: REPORT_FIELDS, schema_valid, judge, n_samples, and
+    whether it was of an older form. That has all numbers in aggregate, no soft rate of its own (strict counts), and the
+    number of schema errors instead of the share of valid answers. A report of neither form has zeros."""
+    number = ", ".join
+    new = number(f"{n} double" for n, _ in REPORT_FIELDS.values()) + ", schema_valid double, n long"
+    old = number(sorted({f"{n} double" for _, n in REPORT_FIELDS.values()})) + ", n_schema_errors long, n_samples long, judge_overall_mean double"
+    r = F.from_json(column, f"overall_classification struct<{_typed(new)}>, overall_judge struct<judge_overall:double>, aggregate struct<{_typed(old)}>")
+    rows = reports.withColumn("_r", r)
+    is_new, aggregate_ = F.col("_r.overall_classification").isNotNull(), F.col("_r.aggregate")
+    is_old = ~is_new & aggregate_.isNotNull()
+    either = lambda a, b: F.coalesce(F.when(is_new, a).when(is_old, b), F.lit(0.0))
+    fields = {c: either(F.col(f"_r.overall_classification.{n}"), aggregate_[o]) for c, (n, o) in REPORT_FIELDS.items()}
+    some = F.greatest(F.coalesce(aggregate_["n_samples"], F.lit(1)), F.lit(1))
+    valid = either(F.col("_r.overall_classification.schema_valid"), 1.0 - F.coalesce(aggregate_["n_schema_errors"], F.lit(0)) / some)
+    judge = either(F.col("_r.overall_judge.judge_overall"), aggregate_["judge_overall_mean"])
+    n = F.coalesce(F.when(is_new, F.col("_r.overall_classification.n")).when(is_old, aggregate_["n_samples"]), F.lit(0)).cast("long")
+    return rows.withColumns(fields | {"schema_valid": valid, "judge": judge, "n_samples": n, "is_converted": is_old}).drop("_r", column)
+
+
+def _typed(fields: str) -> str:
+    return ",".join(f.replace(" ", ":") for f in fields.split(", "))
+
+
 def select_model(reports: DataFrame) -> DataFrame:
     """reports (model, soft, judge) with composite and rank, 1 the winner; ties by name."""
     scored = reports.withColumn("composite", composite(F.col("soft"), F.col("judge")))

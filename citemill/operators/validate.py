@@ -105,9 +105,35 @@ def check_request(paper_id: str, max_depth: int | None, direction: str) -> int:
     return depth
 
 
+#: What a payload holds.
+PAYLOAD_KEYS = {"target_paper_id", "papers", "references", "citations"}
+
+
 def check_payload(payload: dict) -> None:
-    missing = {"target_paper_id", "papers", "references", "citations"} - payload.keys()
+    missing = PAYLOAD_KEYS - payload.keys()
     if missing:
         raise ValidationFailed(f"missing {sorted(missing)}")
     if payload["papers"].isEmpty():
         raise ValidationFailed("no papers")
+
+
+def request_errors(paper_id: Column, max_depth: Column, direction: Column) -> Column:
+    """check_request() for a table of requests: the first rule that fails, else null."""
+    depth = used_depth(max_depth)
+    return (
+        F.when(F.trim(F.coalesce(paper_id, F.lit(""))) == "", "paper_id is empty").when(~depth.between(1, 5), "max_depth is from 1 to 5")
+        .when(~F.coalesce(direction.isin("backward", "forward", "both"), F.lit(False)), "direction is backward, forward or both")
+    )
+
+
+def used_depth(max_depth: Column) -> Column:
+    """A missing or zero depth is 3."""
+    return F.coalesce(F.nullif(max_depth, F.lit(0)), F.lit(3))
+
+
+def payload_errors(payload: Column) -> Column:
+    """check_payload() for a table of payloads in JSON: the missing keys, or that there are no papers, else null."""
+    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    missing = F.array_except(F.array(*map(F.lit, sorted(PAYLOAD_KEYS))), keys)
+    papers = F.coalesce(F.json_array_length(F.get_json_object(payload, "$.papers")), F.lit(0))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(papers == 0, "no papers")

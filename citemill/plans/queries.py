@@ -495,7 +495,16 @@ def a41_a42_j05_checks(read):
     return rows.groupBy("category", "entity", "name", "passed").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""
+    WITH c AS ({ORACLES["a41_a42_j05_checks"]}), s AS ({ORACLES["a11_a13_slices"]}),
+    b AS (SELECT NOT (share > 0.5 OR (share = 0 AND slice IN ('2010_2015', '2015_2020'))) AS passed FROM s WHERE dimension = 'temporal'
+          UNION ALL SELECT sum(share) FILTER (slice IN ('high_1k_10k', 'very_high_10k_plus')) <= 0.7 FROM s UNION ALL SELECT sum(share) FILTER (slice = 'low_0_100') > 0 FROM s
+          UNION ALL SELECT count(*) FILTER (dimension = 'venue' AND share > 0) >= 2 FROM s UNION ALL SELECT false FROM s WHERE dimension = 'venue' AND share > 0.6),
+    t AS (SELECT sum(n) AS total, sum(CASE WHEN passed THEN n ELSE 0 END) AS passed FROM (SELECT passed, n FROM c UNION ALL SELECT passed, 1 FROM b))
+    SELECT CAST(total AS bigint) AS total_checks, CAST(passed AS bigint) AS passed_checks, CAST(total - passed AS bigint) AS failed_checks, round(CAST(passed AS double) / total, 9) AS quality_score FROM t
+    """
+)
 def a10_quality_report(read):
     return quality.quality_report(quality.all_checks(read("papers"), read("authors"), read("refs"))).withColumn("quality_score", F.round("quality_score", 9))
 

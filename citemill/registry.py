@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.plans import file_queries, stream_queries  # noqa: F401, register their queries
+from citemill.plans import evaluation_queries, file_queries, stream_queries  # noqa: F401, register their queries
 from citemill.plans.queries import ORACLES, QUERIES, flagship_top_influence  # noqa: F401
 
 
