@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.metrics import zero
+from citemill.operators.clean import first_by
 from citemill.operators.ranking import candidates, forward_window, most_cited, top_citations, top_references
 from citemill.sources.storage import written
 
@@ -91,7 +92,7 @@ def tree(papers: DataFrame, refs: DataFrame, cits: DataFrame, root: str, max_dep
             rows = rows.join(counts, F.col(other) == F.col("_id")).filter(~F.array_contains("path", F.col(other)))
             if kind == "descendant":
                 rows = rows.filter(forward_window(F.col("parent_year"), F.col("year"), window))
-            best = candidates(rows.dropDuplicates([by, other]), by, width)
+            best = candidates(first_by(rows, [by, other]), by, width)
             level = written(best.select(F.lit(kind).alias("node_type"), F.lit(depth).alias("depth"), F.col(by).alias("parent_id"), F.col(other).alias("paper_id"), "rank", F.concat("path", F.array(other)).alias("path"), F.coalesce("year", "parent_year").alias("year")), "tree")
             nodes = nodes.unionByName(level.select(*nodes.columns))
             # A paper that several parents reach is followed once, from the smallest path.
@@ -107,11 +108,11 @@ def tree_links(nodes: DataFrame) -> DataFrame:
 
 
 def path_to_root(nodes: DataFrame, node_id: str, max_depth: int = 10) -> DataFrame:
-    """step and paper_id from a node up to the root."""
-    level = nodes.filter(F.col("paper_id") == node_id).orderBy("depth").limit(1).select("paper_id", "parent_id", F.lit(0).alias("step"))
+    """step and paper_id from a node up to the root; of several parents the one of least depth, then the smallest, is taken."""
+    level = nodes.filter(F.col("paper_id") == node_id).orderBy("depth", "parent_id").limit(1).select("paper_id", "parent_id", F.lit(0).alias("step"))
     found = level
     for step in range(1, max_depth + 1):
-        level = nodes.alias("n").join(F.broadcast(level.select(F.col("parent_id").alias("_p"))), F.col("n.paper_id") == F.col("_p")).select("n.paper_id", "n.parent_id", F.lit(step).alias("step")).limit(1)
+        level = nodes.alias("n").join(F.broadcast(level.select(F.col("parent_id").alias("_p"))), F.col("n.paper_id") == F.col("_p")).orderBy("n.depth", "n.parent_id").limit(1).select("n.paper_id", "n.parent_id", F.lit(step).alias("step"))
         found = found.unionByName(level)
     return found.select("step", "paper_id")
 

@@ -715,12 +715,58 @@ def g06_component_sizes(read):
     return graph.component_sizes(graph.components(ids_, edges)).groupBy("size").agg(F.count("*").alias("components"))
 
 
-@query()
+_OFF_TOPIC = "regexp_matches(lower(c.title), 'medical|clinical|disease|patient|diagnosis|ecg|mri|ct scan|imaging|radiology|tooth|dental|retinal|octa|tumor|cancer|segmentation|lung|liver|brain|heart')"
+
+
+def _crawl_level(depth: int) -> str:
+    """CTEs of the papers that a crawl finds behind those of a depth: the best references, and the best citations of three years."""
+    k, found = ranking.FOLLOWED[min(depth, len(ranking.FOLLOWED) - 1)], " UNION ALL ".join(f"SELECT paper_id FROM l{d}" for d in range(depth + 1))
+    return f"""
+        n{depth} AS (
+            SELECT to_id AS paper_id, 'backward' AS via FROM (
+                SELECT e.to_id, row_number() OVER (PARTITION BY e.from_id ORDER BY coalesce(c.citation_count, 0) + 10000 * e.is_influential::int + 5000 * e.is_methodology::int DESC, e.pos) AS rank
+                FROM refs e JOIN l{depth} s ON s.paper_id = e.from_id AND s.via <> 'forward' JOIN papers c ON c.paper_id = e.to_id WHERE e.is_methodology OR e.is_background OR e.is_influential) WHERE rank <= {k}
+            UNION ALL SELECT from_id, 'forward' FROM (
+                SELECT e.from_id, row_number() OVER (PARTITION BY e.to_id ORDER BY coalesce(c.citation_count, 0) + 5000 * e.is_influential::int + 2000 * e.is_methodology::int DESC, e.pos) AS rank
+                FROM cits e JOIN l{depth} s ON s.paper_id = e.to_id AND s.via <> 'backward' JOIN papers o ON o.paper_id = e.to_id JOIN papers c ON c.paper_id = e.from_id
+                WHERE (e.is_methodology OR e.is_influential) AND NOT {_OFF_TOPIC} AND (o.year IS NULL OR c.year BETWEEN o.year + 1 AND o.year + 3)) WHERE rank <= {min(3, k)}),
+        l{depth + 1} AS (SELECT paper_id, {depth + 1} AS depth, min(via) AS via FROM n{depth} WHERE paper_id NOT IN ({found}) GROUP BY paper_id)"""
+
+
+@query(
+    f"""
+    WITH l0 AS (SELECT paper_id, 0 AS depth, 'seed' AS via FROM papers WHERE paper_id = '241'), {", ".join(map(_crawl_level, range(3)))}
+    {" UNION ALL ".join(f"SELECT paper_id, CAST(depth AS int) AS depth, via FROM l{d}" for d in range(4))}
+    """,
+    "papers",
+    "refs",
+    "cits",
+)
 def g07_crawl(read):
     cits = read("cits")
     return traverse.crawl(read("papers"), read("refs"), cits, "241", 3, "both")
 
 
+def _tree_level(kind: str, depth: int, width: int) -> str:
+    """CTEs of a tree's nodes of one kind and depth, and of the papers to go on from."""
+    edges, by, other, near = ("refs", "from_id", "to_id", "true") if kind == "ancestor" else ("cits", "to_id", "from_id", "(s.year IS NULL OR c.year BETWEEN s.year + 1 AND s.year + 3)")
+    return f"""
+        {kind}_e{depth} AS (SELECT * FROM (
+            SELECT e.{by} AS parent_id, e.{other} AS paper_id, e.pos, e.is_methodology, e.is_influential, c.citation_count, coalesce(c.year, s.year) AS year, list_append(s.path, e.{other}) AS path, row_number() OVER (PARTITION BY e.{by}, e.{other} ORDER BY e.pos) AS n
+            FROM {edges} e JOIN {kind}_s{depth - 1} s ON s.paper_id = e.{by} JOIN papers c ON c.paper_id = e.{other} WHERE NOT list_contains(s.path, e.{other}) AND {near}) WHERE n = 1),
+        {kind}_t{depth} AS (SELECT *, CASE WHEN is_methodology THEN 1 WHEN is_influential AND m < {width} THEN 2 END AS tier FROM (SELECT *, sum(is_methodology::int) OVER (PARTITION BY parent_id) AS m FROM {kind}_e{depth})),
+        {kind}_n{depth} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY coalesce(citation_count, 0) DESC, pos) AS rank FROM {kind}_t{depth} WHERE tier IS NOT NULL) WHERE rank <= {width}),
+        {kind}_s{depth} AS (SELECT paper_id, min(path) AS path, arg_min(year, path) AS year FROM {kind}_n{depth} GROUP BY paper_id)"""
+
+
+def _tree_sql(root: str) -> str:
+    """CTE tree: the nodes of a tree of two levels each way."""
+    start = f"(SELECT paper_id, [paper_id] AS path, year FROM papers WHERE paper_id = {root})"
+    levels = [_tree_level("ancestor", 1, traverse.FAN_OUT), _tree_level("ancestor", 2, traverse.FAN_OUT), _tree_level("descendant", 1, 5), _tree_level("descendant", 2, traverse.FAN_OUT)]
+    nodes = [f"SELECT '{k}' AS node_type, {d} AS depth, parent_id, paper_id, CAST(rank AS int) AS rank FROM {k}_n{d}" for k in ("ancestor", "descendant") for d in (1, 2)]
+    target = f"SELECT 'target' AS node_type, 0 AS depth, CAST(NULL AS varchar) AS parent_id, paper_id, 1 AS rank FROM papers WHERE paper_id = {root}"
+    return f"ancestor_s0 AS {start}, descendant_s0 AS {start}, {', '.join(levels)}, tree AS ({' UNION ALL '.join([target, *nodes])})"
+
 
 
 @query(
@@ -747,7 +793,7 @@ def g08_reachability(read):
     return traverse.reachability(read("refs"), 3, "backward").groupBy("ancestor", "depth", "direction").agg(F.count("*").alias("descendants"))
 
 
-@query()
+@query(f"WITH {_tree_sql('(SELECT min(from_id) FROM refs WHERE to_id IN (SELECT paper_id FROM papers))')} SELECT node_type, CAST(depth AS int) AS depth, parent_id, paper_id, rank FROM tree", "papers", "refs", "cits")
 def g11_g13_tree(read):
     best = traverse.best_children(read("refs").join(read("papers").select(F.col("paper_id").alias("to_id"), "citation_count"), "to_id"), "from_id", "to_id", 1)
     root = best.groupBy("from_id").count().agg(F.min("from_id")).first()[0]
@@ -1137,7 +1183,7 @@ def x27_pdf_source(read):
     return rows.select("c_custkey", F.regexp_replace("f.url", r"^https://arxiv.org/pdf/(\d+)\.pdf$", "a$1").alias("url"), "f.source")
 
 
-@query()
+@query(f"""WITH {_tree_sql("'5'")} SELECT node_type AS kind, count(*) AS nodes FROM tree GROUP BY node_type""", "papers", "refs", "cits")
 def a33_tree_nodes(read):
     nodes = traverse.tree(read("papers"), read("refs"), read("cits"), "5")
     return nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("nodes"))
