@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -87,6 +87,27 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def apart(windows: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of windows (start, end, matched) those without overlap that match most words in all, then the shortest, by start."""
+    ordered = sorted(windows, key=lambda w: (w[1], w[0], w[2]))
+    ends = [w[1] for w in ordered]
+    best: list[tuple[int, int]] = [(0, 0)]  # of the first n windows: words matched, less their lengths
+    taken: list[int] = []  # for each window how many come before it if it is taken; -1 if it isn't
+    for n, (start, end, matched) in enumerate(ordered):
+        earlier = bisect_right(ends, start, 0, n)
+        with_it = (best[earlier][0] + matched, best[earlier][1] - (end - start))
+        taken.append(earlier if with_it > best[n] else -1)
+        best.append(max(with_it, best[n]))
+    found, n = [], len(ordered)
+    while n:
+        if taken[n - 1] < 0:
+            n -= 1
+        else:
+            found.append(ordered[n - 1])
+            n = taken[n - 1]
+    return found[::-1]
+
+
 @dataclass(frozen=True)
 class Finding:
     license: str
@@ -104,7 +125,7 @@ class Scanner:
         self.any_mark = frozenset().union(*self.marks.values())
 
     def scan(self, text: str) -> list[Finding]:
-        """All findings, by start; where some overlap, the one with more template words stays, then the better covered."""
+        """All findings, by start; of those that overlap the ones stay that match most words in all."""
         words, starts, ends = words_of(text)
         places: dict[str, list[int]] = {}
         for n, word in enumerate(words):
@@ -121,15 +142,8 @@ class Scanner:
                 if sum(min(k, there[w]) for w, k in self.counts[name].items()) < self.coverage * len(template):
                     continue
                 found += self._aligned(name, words, low, high)
-        begins: list[int] = []  # of the findings that stay, ascending, with the findings beside them
-        best: list[tuple[int, int, int, str, float]] = []
-        for f in sorted(found, key=lambda f: (-f[2], -f[4], f[0], f[3])):
-            at = bisect_right(begins, f[0])
-            if (at and best[at - 1][1] > f[0]) or (at < len(best) and begins[at] < f[1]):
-                continue
-            begins.insert(at, f[0])
-            best.insert(at, f)
-        return [Finding(f[3], starts[f[0]], ends[f[1] - 1], f[4]) for f in best]
+        best = {f[:3]: f for f in sorted(found, key=lambda f: (f[4], f[3]))}  # of equal windows the better covered
+        return [Finding(f[3], starts[f[0]], ends[f[1] - 1], f[4]) for f in map(best.get, apart(best))]
 
     @staticmethod
     def _runs(marked: list[int], reach: int) -> Iterator[tuple[int, int]]:
@@ -171,32 +185,32 @@ class Scanner:
             if word in self.marks[name]:
                 offsets.setdefault(word, []).append(n)
         votes = Counter(n - k for n in range(low, high) for k in offsets.get(words[n], ()))
-        found: list[tuple[int, int, int]] = []
+        found: set[tuple[int, int, int]] = set()
         whole = bytearray(high - low)
         for at in sorted(votes, key=lambda d: (-votes[d], d)):
             if whole[min(max(at + size // 2, low), high - 1) - low]:
                 continue
-            best = None
             for slack in (0, size // 4, size):
                 first, last = max(low, at - slack), min(high, at + size + slack)
                 there = Counter(words[first:last])
                 if sum(min(k, there[w]) for w, k in self.counts[name].items()) < self.coverage * size:
                     continue
                 pairs = self._dense(align(words[first:last], template), size)
-                if len(pairs) >= self.coverage * size:
-                    one = (-len(pairs), pairs[-1][0] - pairs[0][0] + 1, first + pairs[0][0])
-                    best = one if best is None else min(best, one)
-                if best and -best[0] == size:
+                if len(pairs) < self.coverage * size:
+                    continue
+                start, end = first + pairs[0][0], first + pairs[-1][0] + 1
+                found.add((start, end, len(pairs)))
+                if len(pairs) >= NEARLY_WHOLE * size and end - start <= size:
+                    whole[start - low : end - low] = b"\1" * (end - start)
+                if len(pairs) == size:
                     break
-            if best:
-                found.append(best)
-                if -best[0] >= NEARLY_WHOLE * size and best[1] <= size:
-                    whole[best[2] - low : best[2] - low + best[1]] = b"\1" * best[1]
-        taken = bytearray(high - low)
-        for matched, length, start in sorted(found):
-            if not any(taken[start - low : start - low + length]):
-                taken[start - low : start - low + length] = b"\1" * length
-                yield start, start + length, -matched, name, round(-matched / size, 6)
+        chosen, at = apart(found), low
+        for start, end, matched in chosen:
+            yield start, end, matched, name, round(matched / size, 6)
+        # What is left beside the chosen windows may hold the license still: a window of two copies hid it.
+        for start, end, _ in [*chosen, (high, high, 0)] if chosen else ():
+            yield from self._aligned(name, words, at, start)
+            at = end
 
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
