@@ -16,12 +16,15 @@ are resolved each on its own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from math import isfinite
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.llm.common import read_table, written
 
-#: Stretches of time between the first and the last record.
+#: Stretches of time, of about the same number of records.
 STRETCHES = 512
 #: Header fields that a 304 may carry to update a stored response (RFC 9110, 15.4.5), and Expires' kin.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age", "warning"]
@@ -39,17 +42,27 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
+def _stretches(records: DataFrame) -> DataFrame:
+    """records with stretch, the number of the stretch of time they are in. Stretches are cut by counts, at quantiles of all times, so
+    each holds about one in STRETCHES records, of one URL or of many, wherever single times lie. Without a time: null."""
+    shares = [n / STRETCHES for n in range(1, STRETCHES)]
+    cuts = records.agg(F.percentile_approx(F.col("ts").cast("double"), shares, 20 * STRETCHES).alias("cuts")).first()["cuts"] or []
+    splits = [-float("inf"), *sorted({c for c in cuts if isfinite(c)}), float("inf")]
+    if len(splits) < 3:
+        return records.withColumn("stretch", F.when(F.col("ts").isNotNull(), 0))
+    at = "_citemill_ts"
+    found = Bucketizer(splits=splits, inputCol=at, outputCol="stretch", handleInvalid="keep").transform(records.withColumn(at, F.col("ts").cast("double")))
+    return found.withColumn("stretch", F.when(F.col("ts").isNotNull(), F.col("stretch").cast("int"))).drop(at)
+
+
 def as_of(records: DataFrame) -> DataFrame:
     """The revisits among records, each with full, the struct of the latest earlier response (null if there is none).
 
     records: url_key, ts (a number), record_id, kind ("response" or "revisit"), etag, last_modified, digest, headers.
     """
-    bounds = records.agg(F.min("ts"), F.max("ts")).first()
-    low, high = (float(b or 0) for b in bounds)
-    width = (high - low) / STRETCHES or 1.0
-    stretch = F.least(F.lit(STRETCHES - 1), F.floor((F.col("ts") - F.lit(low)) / F.lit(width)).cast("int"))
+    stretch = _stretches(records)
     full = F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers"))
-    rows = written(records.withColumn("stretch", stretch).withColumn("own", full), "records")
+    rows = written(stretch.withColumn("own", full), "records")
     # Revisits come before responses of the same time, so these don't count as earlier.
     inside = Window.partitionBy("url_key", "stretch").orderBy("ts", F.when(F.col("kind") == "response", 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     has_key = F.col("url_key").isNotNull() & F.col("ts").isNotNull()

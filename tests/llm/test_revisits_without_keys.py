@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from citemill.llm.warc_revisits import resolve
+from citemill.llm.warc_revisits import STRETCHES, _stretches, resolve
 
 SCHEMA = "record_id long, url_key string, ts double, kind string, etag string, last_modified string, digest string, headers map<string,string>"
 
@@ -26,3 +26,23 @@ def test_only_records_without_key(spark):
     rows = spark.createDataFrame([(1, None, None, "revisit", "a", None, None, None)], SCHEMA)
     assert resolve(rows).select("status").first()[0] == "no-response"
     assert resolve(rows.filter(F.lit(False))).isEmpty()
+
+
+def test_wrong_times_leave_no_crowded_stretch(spark):
+    """Records of the years 0 and 9999 don't put a URL's other captures into a few windows, and all are resolved as before."""
+    n = 40_960
+    rows = spark.range(n).select(
+        F.col("id").alias("record_id"), F.lit("u").alias("url_key"), F.when(F.col("id") == 0, -6.2e10).when(F.col("id") == 1, 2.5e11).when(F.col("id") == 2, float("inf")).otherwise(1.7e9 + F.col("id") * 10).alias("ts"),
+        F.when(F.col("id") % 9 == 4, "response").otherwise("revisit").alias("kind"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("Date"), F.col("id").cast("string")).alias("headers"),
+    )
+    sizes = [r["count"] for r in _stretches(rows).groupBy("stretch").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n / STRETCHES
+    found = {r.record_id: r.refers_to for r in resolve(rows).collect()}
+    latest = None
+    for i in range(3, n):
+        if i % 9 == 4:
+            latest = i
+        else:
+            assert found[i] == latest
+    assert found[0] is None and found[1] == found[2] == latest
