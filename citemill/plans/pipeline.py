@@ -42,9 +42,11 @@ def validated(network: Network) -> Network:
     )
 
 
-def cleaned(network: Network) -> Network:
+def cleaned(network: Network, reused: bool = True) -> Network:
+    """Clean records. reused: several steps read the edges, so they are written."""
     papers = written(clean.clean_papers(network.papers), "papers")
-    return Network(papers, written(clean.clean_edges(network.refs, papers), "refs"), written(clean.clean_edges(network.cits, papers), "cits"))
+    refs, cits = clean.clean_edges(network.refs, papers), clean.clean_edges(network.cits, papers)
+    return Network(papers, written(refs, "refs"), written(cits, "cits")) if reused else Network(papers, refs, cits)
 
 
 def enriched(network: Network, target_year: int | None, current_year: int, with_pagerank: bool = True) -> DataFrame:

@@ -370,7 +370,7 @@ _FLAGSHIP = f"""
 
 @query(_FLAGSHIP, "papers", "refs", "cits")
 def flagship_top_influence(read):
-    known = pipeline.cleaned(pipeline.Network(read("papers"), read("refs"), read("cits")))
+    known = pipeline.cleaned(pipeline.Network(read("papers"), read("refs"), read("cits")), reused=False)
     rows = pipeline.enriched(known, 2005, CURRENT_YEAR, with_pagerank=False)
     best = rows.orderBy(F.desc("influence_score_raw"), "paper_id").limit(10)
     return best.select("paper_id", "in_degree", "out_degree", F.col("influence_score_normalized").alias("influence"))
@@ -800,6 +800,36 @@ def g11_g13_tree(read):
     return traverse.tree(read("papers"), read("refs"), read("cits"), root or "0")
 
 
+@query(
+    f"""
+    WITH {_tree_sql("'5'")} SELECT CASE WHEN node_type = 'ancestor' THEN paper_id ELSE parent_id END AS source, CASE WHEN node_type = 'ancestor' THEN parent_id ELSE paper_id END AS target
+    FROM tree WHERE parent_id IS NOT NULL
+    """,
+    "papers",
+    "refs",
+    "cits",
+)
+def g16_tree_links(read):
+    return traverse.tree_links(traverse.tree(read("papers"), read("refs"), read("cits"), "5"))
+
+
+@query(
+    f"""
+    WITH {_tree_sql("'5'")}, leaf AS (SELECT max(paper_id) AS paper_id FROM tree WHERE depth = 2),
+    a AS (SELECT 0 AS step, t.* FROM tree t JOIN leaf USING (paper_id) ORDER BY depth, parent_id NULLS FIRST LIMIT 1), b AS (SELECT 1 AS step, t.* FROM tree t JOIN a ON t.paper_id = a.parent_id ORDER BY t.depth, t.parent_id NULLS FIRST LIMIT 1),
+    c AS (SELECT 2 AS step, t.* FROM tree t JOIN b ON t.paper_id = b.parent_id ORDER BY t.depth, t.parent_id NULLS FIRST LIMIT 1), d AS (SELECT 3 AS step, t.* FROM tree t JOIN c ON t.paper_id = c.parent_id ORDER BY t.depth, t.parent_id NULLS FIRST LIMIT 1)
+    SELECT CAST(step AS int) AS step, paper_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)
+    """,
+    "papers",
+    "refs",
+    "cits",
+)
+def g17_path_to_root(read):
+    nodes = traverse.written(traverse.tree(read("papers"), read("refs"), read("cits"), "5"), "tree-nodes")
+    leaf = nodes.filter("depth = 2").agg(F.max("paper_id")).first()[0]
+    return traverse.path_to_root(nodes, leaf or "5")
+
+
 _POINTERS = "p AS (SELECT CAST(s_suppkey AS int) AS k, CAST(s_suppkey * 7 % 50 AS int) AS to_k, s_suppkey % 13 = 0 AS f FROM supplier)"
 
 
