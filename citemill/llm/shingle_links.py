@@ -9,7 +9,7 @@ that token is among the first m - ceil(2 t m / (1 + t)) + 1 of the shorter one.
 the order: that saves candidates and changes no result.
 
 A pair that meets is left out only by bounds that no near pair can break: the lengths; the tokens that are left after the
-places where it meets; and the parities of both sets. A parity is a bit string in which each token flips one bit, so two strings
+places where it meets (in the last round, behind the first one, as nothing ahead of it is common); and the parities of both sets. A parity is a bit string in which each token flips one bit, so two strings
 differ in at most as many bits as the sets have tokens apart. What remains is decided by the shingles.
 
 Pairs at a token grow with the square of its sets. So a few rounds compare each set only with one pivot of each of
@@ -68,6 +68,10 @@ class Rule:
         """Whether sets that share a token at these places can have enough tokens in common."""
         return F.expr(f"{self.near + self.of}L * (least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)) >= {self.near}L * ({a}.n + {b}.n)")
 
+    def room_behind(self, a: str, b: str) -> Column:
+        """The same for the first token that the sets share: no token ahead of it is common. A near pair passes at that one."""
+        return F.expr(f"{self.near + self.of}L * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {self.near}L * ({a}.n + {b}.n)")
+
     def parities(self, a: str, b: str) -> Column:
         """Whether the tokens by which the sets differ at least, by their parities, are few enough. The longer parity is folded to
         the length of the shorter one: that of near sets is at most twice as long."""
@@ -284,7 +288,7 @@ def near_components(docs: DataFrame, rows: DataFrame, lowest: DataFrame, rule: R
         x = written(x, "near-members")
         y = x.filter(F.col("x.pos") < rule.index("x.n")).select("token", F.col("x").alias("y"), F.col("root").alias("other"))
         shorter = F.expr("struct(y.n, y.set_id) < struct(x.n, x.set_id)")
-        met = x.join(y, "token").filter(F.expr("root <> other") & shorter & rule.lengths("x", "y") & rule.room("x", "y") & rule.parities("x", "y"))
+        met = x.join(y, "token").filter(F.expr("root <> other") & shorter & rule.lengths("x", "y") & rule.room_behind("x", "y") & rule.parities("x", "y"))
         links = links.unionByName(verify.near(ordered_pairs(met)))
         discard(there, x)
     verify.close()
