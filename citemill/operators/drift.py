@@ -54,6 +54,6 @@ def sessions(rows: DataFrame, by: str, ts: str, gap: str = "30 minutes") -> Data
 
 
 def day_over_day(rows: DataFrame, ts: str) -> DataFrame:
-    """Extension: daily counts and their change against the day before."""
+    """Extension: daily counts and their change against the day before; the window sees a row for each day of the table's time."""
     daily = date_histogram(rows, ts)
     return daily.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("bucket")))

@@ -123,7 +123,7 @@ def k06_transactional_write(read):
     names = ("papers", "refs", "cits")
     spark = read("papers").sparkSession
     root = new_path(spark, "tables")
-    merge.swap(spark, {n: read(n).limit(3) for n in names}, root)
+    merge.swap(spark, {n: read(n).orderBy(read(n).columns[0]).limit(3) for n in names}, root)
     merge.swap(spark, {n: read(n) for n in names}, root)
     found = None
     for n in names:
@@ -154,8 +154,8 @@ def k08_fetch_log(read):
     fetched = read("refs").select("from_id", "to_id", "is_influential").join(far, "to_id").withColumn("other_id", F.col("to_id"))
     edges = fetched.select("from_id", "to_id", "is_influential").limit(0)
     requests = papers.select("paper_id", F.lit("references").alias("fetch_type"), F.lit(None).cast("int").alias("year_start"), F.lit(None).cast("int").alias("year_end"))
-    log = requests.withColumn("result_count", F.lit(-1)).limit(5)
-    return serving.save_fetch(papers.limit(10), edges, log, fetched, requests, ["from_id", "to_id"])[2].select("paper_id", "fetch_type", "result_count")
+    log = requests.withColumn("result_count", F.lit(-1)).orderBy("paper_id").limit(5)
+    return serving.save_fetch(papers.orderBy("paper_id").limit(10), edges, log, fetched, requests, ["from_id", "to_id"])[2].select("paper_id", "fetch_type", "result_count")
 
 
 @query("SELECT paper_id, 'c' || paper_id AS what_was_improved FROM papers WHERE pos % 3 <> 0 AND pos % 2 = 0", "papers")
