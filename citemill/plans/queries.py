@@ -82,11 +82,29 @@ def x15_x16_names(read):
     return read("pages").select("page_id", text.safe_file_name(F.col("url")).alias("file_name"), text.ellipsis(F.col("url"), 30).alias("short_url"))
 
 
-@query()
+def _plain(html: str) -> str:
+    """SQL for the text of a piece of HTML: tags apart, entities read, white space as one space."""
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        html = f"replace({html}, '{entity}', '{letter}')"
+    return f"trim(regexp_replace({html}, '[\\s\u00a0]+', ' ', 'g'))"
+
+
+#: The pages' own form: a title, a box beside the text, and an article whose heading opens the one section that has a name.
+_BLOCKS = "regexp_replace(regexp_replace({}, '(?is)<(p|br|div|li)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(
+    f"""
+    WITH h AS (SELECT page_id, html, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS box, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)</h1>(.*)$', 1) AS body FROM pages)
+    SELECT page_id, {_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, '' AS abstract, 2 AS sections, {_plain("box")} AS first_text, {_plain("head")} AS second_name, length({_plain(_BLOCKS.format("body"))}) AS second_chars FROM h
+    """
+)
 def s21_html_sections(read):
     from citemill.functions.parsing import parse_html
 
-    return read("pages").select("page_id", parse_html("html").alias("d")).select("page_id", "d.title", "d.abstract", F.size("d.sections").alias("sections"))
+    found = read("pages").select("page_id", parse_html("html").alias("d")).select("page_id", "d.*")
+    second = F.get("sections", F.lit(1))
+    return found.select("page_id", "title", "abstract", F.size("sections").alias("sections"), F.get("sections", F.lit(0))["text"].alias("first_text"), second["name"].alias("second_name"), F.length(second["text"]).cast("long").alias("second_chars"))
 
 
 @query(
