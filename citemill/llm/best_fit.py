@@ -7,7 +7,8 @@ All lots see the same mix of lengths, so each is about as full as one lot of eve
 sequence half empty.
 
 Token ids of a white-space separated word don't depend on its neighbours (the tokenizer drops white space, and no rule
-of it looks across), so words are encoded once for as long as they stay in a bounded memory.
+of it looks across), so the different words of a batch of texts are encoded once, and for as long as they stay in a bounded
+memory not again.
 
 Defined results: a null text counts as empty: one piece with the end token alone; equal rows are packed each on its own;
 an empty table gives an empty table; columns other than id and text are not read.
@@ -19,12 +20,13 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,88 +38,141 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 LOT_ROWS = 20_000
-#: Words whose ids a worker remembers, about 200 bytes each; then it starts anew.
-MEMORY_WORDS = 300_000
-#: Words that are encoded in one call.
-TOGETHER = 2000
-#: Characters that str.split() takes as white space and the tokenizer doesn't.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-SPACE = re.compile(r"[ \t\n\r]+")
-#: Letters and figures, then ASCII punctuation: the tokenizer always parts them. Only letters that stay letters when they
-#: are normalised and lower-cased: others may end in a combining mark, which goes with the punctuation.
-PARTED = re.compile(r"([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]+)")
-#: Letters whose lower case and whose bytes don't depend on what stands beside them.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: A tokenizer that gives these what its model alone gives their byte-level lower case may be asked so for all LETTERS.
-PROBES = ("a", "Hello", "STRASSE", "\u00c9lan", "ni\u00f1o", "stra\u00dfe", "\u00d8re", "unbelievably")
+#: Words whose ids a worker remembers, about 200 bytes each, and the longest of them.
+MEMORY_WORDS, LONGEST = 300_000, 100
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+TOGETHER = 4 << 20
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Plain words: ASCII, and letters whose lower case and whose bytes don't depend on what stands beside them. Letters that
+#: don't stay letters when they are normalised and lower-cased may end in a combining mark, which goes with punctuation.
+PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
+#: A plain word up to the punctuation at its end. There the tokenizer always parts it.
+STEM = "^.*[^!-/:-@\\[-`{-~]"
+#: Letters in lower case, and where the tokenizer parts a plain word of them.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: A tokenizer that gives these what its model alone gives the byte-level lower case of their parts may be asked so.
+PROBES = ("a", "Hello", "STRASSE", "\u00c9lan", "ni\u00f1o", "stra\u00dfe", "\u00d8re", "unbelievably", "It'S", "don't,ll", "--'s'll", "v2.10", "(a1B2)...")
+
+
+class Remembered:
+    """Ids of words: of any until half of what fits is full, then of those that come often.
+
+    A full half is put aside in place of the other, and its words are taken back as they are met.
+    """
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        self.ids_of, self.known, self.aside = ids_of, {}, {}
+
+    def look_up(self, words: list[str], often: list[bool]) -> list[bytes]:
+        """The ids of each word; often says which come more than once."""
+        found = list(map(self.known.get, words))
+        for n, ids in enumerate(found):
+            if ids is None:
+                found[n] = self._beyond(words[n], often[n])
+        return found
+
+    def _beyond(self, word: str, often: bool) -> bytes:
+        ids = self.aside.get(word)
+        if ids is None:
+            ids = self.ids_of(word)
+            if len(word) > LONGEST or self.aside and not often:
+                return ids
+        if len(self.known) >= MEMORY_WORDS // 2:
+            self.known, self.aside = {}, self.known
+        self.known[word] = ids
+        return ids
+
+
+def strung(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of a sequence of codes, where ids has the ids of code 0, of code 1 and so on, of these lengths."""
+    taken = lengths[codes]
+    shift = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(taken) - taken)
+    return ids[np.repeat(shift, taken) + np.arange(taken.sum())], taken
 
 
 class WordEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+    The different words of many texts are looked up once: plain ones by the lower case of what stands before the punctuation
+    at their end. The tokenizer's model alone gives the ids of their parts; other words are given to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
-        self.mark_id, self.mark = special[0] if special else (None, None)
         self.model = self.tokenizer.model
         in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.in_bytes = {n: in_bytes.pre_tokenize_str(chr(n))[0][0] for n in range(0xC0, 0x100)}
-        self.direct = all(self._of_letters(w.lower()) == self._whole(w) for w in PROBES)
+        self.figures = {n: self._of_model(n) for n in "0123456789"}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.direct = all("<|" in t.content for t in added) and all(self._of_parts(w.lower()) == self._whole(w) for w in PROBES)
+        self.memory = Remembered(self._of_word)
 
     def encode(self, text: str) -> bytes:
-        words = SPACE.split(text) if any(c in text for c in NOT_SPACE) else text.split()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + 3 * len(new) > MEMORY_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return next(self.of_each(pa.array([text], pa.string())))
+
+    def of_each(self, texts: pa.Array) -> Iterator[bytes]:
+        for run in together(texts):
+            ids, ends = self._of_texts(run)
+            start = 0
+            for end in ends.tolist():
+                yield ids[start:end].tobytes()
+                start = end
+
+    def _of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ids, lengths = strung(*self._of_words(coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary))), codes)
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[starts[1:]]
+
+    def _of_words(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and their lengths."""
+        if not self.direct:
+            return self._of_stems(words, counts)
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))  # not a special token
+        lower = pc.utf8_lower(words)
+        stems = pc.if_else(plain, pc.utf8_rtrim(lower, PUNCTUATION), words).dictionary_encode()
+        ends = pc.if_else(plain, pc.replace_substring_regex(lower, STEM, ""), "").dictionary_encode()
+        both = np.stack([stems.indices.to_numpy(), ends.indices.to_numpy() + len(stems.dictionary)], axis=1).ravel()
+        listed = pa.concat_arrays([stems.dictionary, ends.dictionary])
+        ids, lengths = strung(*self._of_stems(listed, np.bincount(both, np.repeat(counts, 2), len(listed))), both)
+        return ids, lengths.reshape(-1, 2).sum(axis=1)
+
+    def _of_stems(self, stems: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.memory.look_up(stems.to_numpy(zero_copy_only=False).tolist(), (counts > 1).tolist())
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _of_word(self, word: str) -> bytes:
+        if self.direct and LETTERS.fullmatch(word):
+            return self._of_model(word)
+        if self.direct and "<|" not in word and re.fullmatch(PLAIN, word):
+            return self._of_parts(word)
+        return self._whole(word)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _of_letters(self, word: str) -> bytes:
-        """Ids of a word of lower-case LETTERS, from the model alone."""
-        plain = word if word.isascii() else word.translate(self.in_bytes)
-        ids = [t.id for t in self.model.tokenize(plain)]
+    def _of_parts(self, word: str) -> bytes:
+        """Ids of a plain word of lower-case letters, from the model alone."""
+        return b"".join([self.figures.get(p) or self._of_model(p) for p in PARTS.findall(word)])
+
+    def _of_model(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.in_bytes))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. A word that ends in punctuation is two, and letters are known by their lower case."""
-        known, later, rest = self.known, [], {}
-        for word in words:
-            m = None if word.isalpha() else PARTED.fullmatch(word)
-            stem, end = m.groups() if m else (word, "")
-            if self.direct and stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
-                stem = stem.lower()
-                if stem not in known:
-                    known[stem] = self._of_letters(stem)
-            elif stem not in known:
-                rest[stem] = None
-            if end and end not in known:
-                rest[end] = None
-            later.append((word, stem, end))
-        listed = list(rest)
-        for at in range(0, len(listed), TOGETHER):
-            self._encode(listed[at : at + TOGETHER])
-        for word, stem, end in later:
-            known[word] = known[stem] + known[end] if end else known[stem]
-
-    def _encode(self, words: list[str]) -> None:
-        """One call for all words, with a special token between them; words that hold such a token are encoded alone."""
-        plain = [w for w in words if self.mark and "<|" not in w]
-        if plain:
-            ids = np.array(self.tokenizer.encode(self.mark.join(plain), add_special_tokens=False).ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            coded, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends, strict=True):
-                self.known[word] = coded[4 * start : 4 * end]
-                start = end + 1
-        for word in words if not plain else (w for w in words if "<|" in w):
-            self.known[word] = self._whole(word)
+
+def together(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of at most TOGETHER bytes, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 @lru_cache(maxsize=1)
@@ -193,8 +248,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             rows: list[int] = []
             cut: list[tuple[int, int, int, int]] = []
-            for n, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py()) + end
+            for n, ids in enumerate(encoder.of_each(batch.column(1))):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     rows.append(n)
