@@ -41,7 +41,7 @@ LOT_ROWS = 20_000
 #: Words whose ids a worker remembers, about 200 bytes each, and the longest of them.
 MEMORY_WORDS, LONGEST = 300_000, 100
 #: Bytes of text that are encoded together; a longer text is encoded alone.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Plain words: ASCII, and letters whose lower case and whose bytes don't depend on what stands beside them. Letters that
 #: don't stay letters when they are normalised and lower-cased may end in a combining mark, which goes with punctuation.
@@ -258,6 +258,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c.astype(k.to_pandas_dtype()), type=k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), *arrays], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # the worker stays, for stages that need memory of their own
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
