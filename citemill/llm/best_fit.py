@@ -21,7 +21,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from citemill.llm.common import read_table, text_or_empty, written
+from citemill.llm.common import kept, read_table, text_or_empty, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -175,10 +174,9 @@ def together(texts: pa.Array) -> Iterator[pa.Array]:
         start = end
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
-    """The worker's encoder; later tasks of the worker find the words that earlier ones met."""
-    return WordEncoder(path)
+    """The worker's encoder; later tasks of the worker find the words that earlier ones met, until one of another kind lets it go."""
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 class TightestBin:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citemill.llm.common import attach, bounded, discard, text_or_empty, written
+from citemill.llm.common import attach, bounded, discard, let_go, text_or_empty, written
 from citemill.llm.simhash_dedup import SEED, keep_rows, majority, near_links, repeated_rows, row_key
 from citemill.operators.graph import link_components
 
@@ -123,6 +123,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """set_id and shingles of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [shingles(t.as_py(), words) for t in batch.column(0).slice(at, 500)]
@@ -148,6 +149,7 @@ def profiles(docs: DataFrame, rule: Rule = NEAR_DEDUP) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, rule))  # MOST_FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, counts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
