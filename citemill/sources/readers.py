@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,13 +32,22 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_position(rows: DataFrame, name: str = "position") -> DataFrame:
-    """Numbers rows from 0 in the order that they are read, without gaps; partitions are counted first, then numbered
-    each on its own."""
-    numbered = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_id", 33))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    placed = numbered.join(F.broadcast(starts), "_part")  # one row per partition
-    return placed.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_start")
+    """Numbers rows from 0, without gaps, in the order of the files that they are read from, by name, and of lines in them, however
+    files are dealt to tasks (Spark deals large ones first). Rows that come from no files keep the order of partitions."""
+    try:
+        at = ["_file", "_block"]
+        rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+    except AnalysisException:
+        at = ["_part"]
+    numbered = rows.withColumn("_id", F.monotonically_increasing_id())
+    if at == ["_part"]:
+        numbered = numbered.withColumn("_part", F.shiftrightunsigned("_id", 33))
+    # A block of a file is read by one task, in a row.
+    counts = numbered.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = counts.select(*at, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    placed = numbered.join(F.broadcast(starts), at)  # one row per block
+    return placed.withColumn(name, F.col("_start") + F.col("_id")).drop("_id", "_start", *at)
 
 
 def evaluation_set(spark: SparkSession, inputs: str, sidecar: str | None, schema: str, sidecar_schema: str | None = None) -> DataFrame:
