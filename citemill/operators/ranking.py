@@ -1,4 +1,5 @@
-"""Relevance filters and top-k by group. Ties go by input position, or by id where that is said."""
+"""Relevance filters and top-k by group. Ties go by input position and then by id, or by id where that is said, so a result doesn't
+depend on the order of rows."""
 
 from __future__ import annotations
 
@@ -45,7 +46,7 @@ def top_references(refs: DataFrame, depth: Column | int = 0) -> DataFrame:
     """refs with citation_count of the cited paper -> the best few of each from_id, with score and rank."""
     score = zero(F.col("citation_count")) + influential().cast("int") * 10000 + has("methodology").cast("int") * 5000
     depth = F.lit(depth) if isinstance(depth, int) else depth
-    return top(refs.filter(is_relevant_reference()).withColumn("score", score), ["from_id"], [F.desc("score"), F.asc("pos")], limit_at(depth))
+    return top(refs.filter(is_relevant_reference()).withColumn("score", score), ["from_id"], [F.desc("score"), F.asc("pos"), F.asc("to_id")], limit_at(depth))
 
 
 def top_citations(cits: DataFrame, depth: Column | int = 0) -> DataFrame:
@@ -53,7 +54,7 @@ def top_citations(cits: DataFrame, depth: Column | int = 0) -> DataFrame:
     score = zero(F.col("citation_count")) + influential().cast("int") * 5000 + has("methodology").cast("int") * 2000
     depth = F.lit(depth) if isinstance(depth, int) else depth
     kept = cits.filter(is_relevant_citation() & ~off_topic(F.col("title")))
-    return top(kept.withColumn("score", score), ["to_id"], [F.desc("score"), F.asc("pos")], F.least(F.lit(3), limit_at(depth)))
+    return top(kept.withColumn("score", score), ["to_id"], [F.desc("score"), F.asc("pos"), F.asc("from_id")], F.least(F.lit(3), limit_at(depth)))
 
 
 def candidates(edges: DataFrame, by: str, k: int, or_anything: bool = False) -> DataFrame:
