@@ -60,7 +60,7 @@ def top_citations(cits: DataFrame, depth: Column | int = 0) -> DataFrame:
 def candidates(edges: DataFrame, by: str, k: int, or_anything: bool = False) -> DataFrame:
     """Methodology edges; where a group has fewer than k of them, influential ones as well; with or_anything, every edge
     where a group has neither. The k most cited of each group, with tier (1, 2, 3) and rank."""
-    order = [F.desc(zero(F.col("citation_count"))), F.asc("pos")]
+    order = [F.desc(zero(F.col("citation_count"))), F.asc("pos"), F.asc("to_id" if by == "from_id" else "from_id"), F.asc("tier")]
     tier = F.when(has("methodology"), 1).when(influential(), 2)
     ranked = _best_of_tiers(edges.withColumn("tier", F.coalesce(tier, F.lit(3)) if or_anything else tier).filter("tier is not null"), by, order, k)
     usable = (F.col("tier") == 1) | ((F.col("tier") == 2) & (F.col("_n1") < k)) | ((F.col("tier") == 3) & (F.col("_n1") + F.col("_n2") == 0))
