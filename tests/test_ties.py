@@ -21,7 +21,7 @@ def test_top_references(rows):
     assert found == {(("x", 1), ("y", 2), ("z", 3))}
 
 
-@pytest.mark.parametrize("or_anything", [False])
+@pytest.mark.parametrize("or_anything", [False, True])
 def test_candidates(rows, or_anything):
     """A tie at the last place, and rows of one paper that differ in their tier."""
     data = [("a", "z", 1, 5, True, ["methodology"]), ("a", "x", 1, 5, True, []), ("a", "x", 1, 5, False, ["methodology"])]
